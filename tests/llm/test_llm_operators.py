@@ -1,0 +1,547 @@
+"""The operators against brute force, and on nulls, empty tables, repeated rows, long texts and clashing columns."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import struct
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidegraph.llm import audio, bloomlm, jaccard, mixing, packing, pfor, queries, ranking, rules, surrogates, tokens, triecount
+from tidegraph.llm.components import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, n_words string, kept string, node string, size string, length string, media string, rate string"
+
+
+def make(spark, rows):
+    """Documents with further columns whose names operators use themselves."""
+    full = [(i, t, "en", s, None if t is None else len(t), "a", "b", "c", "d", "e", "f", "g", "h") for i, t, s in rows]
+    return spark.createDataFrame(full, SCHEMA)
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(1, 8))) for _ in range(400)] + ["the", "of", "und", "é", "Über", "don't", "3,14", "x y", "中文字", "Straße"]
+    return " ".join(r.choices(words, k=n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    long = prose(99, 30_000)
+    rows = [(i, prose(i, 5 + 37 * i % 300), f"s{i % 3}") for i in range(40)]
+    rows += [(100, None, "s0"), (101, "", None), (102, "   \n\t ", "s1"), (103, long, "s1"), (104, rows[3][1], "s2"), (104, rows[3][1], "s2"), (None, "one two three four five six", "s0"), (None, None, None), (105, rows[7][1] + " tail", "s0"), (106, "x" * 5000, "s1")]
+    return make(spark, rows)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return make(spark, [])
+
+
+def rows_of(df):
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+# 1
+
+
+def test_wav_round_trip():
+    for n in (0, 1, 64, 65, 4096):
+        body = random.Random(n).randbytes(n)
+        media = audio.wav(body, 16_000)
+        assert audio.samples(media) == body
+        assert struct.unpack_from("<I", media, 4)[0] == len(media) - 8
+
+
+def test_resampling_keeps_a_tone():
+    for up, down in ((1, 2), (3, 4), (2, 1)):
+        spec = audio.AudioSpec(up=up, down=down)
+        x = np.sin(np.arange(16_000) * 2 * np.pi * 300 / 16_000).astype(np.float32)
+        y = audio.resample(x, spec)
+        assert len(y) == 16_000 * up // down
+        want = np.sin(np.arange(len(y)) * down / up * 2 * np.pi * 300 / 16_000)
+        assert np.abs(y - want)[100:-100].max() < 0.09
+
+
+def test_segments_have_hysteresis():
+    spec = audio.AudioSpec(rise_db=3, fall_db=-3)
+    energy = np.array([0, 0, 5, 0, 1, -5, 0, 0, 4, 0], np.float32)
+    assert audio.segments(energy, spec).tolist() == [[2, 5], [8, 10]]
+
+
+def test_tensors_are_fixed_shape_with_spans():
+    spec = audio.AudioSpec()
+    frames, _, body = audio.features(random.Random(1).randbytes(50_000), spec)
+    table = pa.ipc.open_stream(body).read_all()
+    assert table.schema.field("log_mel").type == pa.fixed_shape_tensor(pa.float32(), [spec.patch, spec.mels])
+    assert table.num_rows == -(-frames // spec.patch)
+    assert all(a < b for a, b in zip(table["start_us"].to_pylist(), table["end_us"].to_pylist(), strict=True))
+
+
+def test_audio_query(spark, docs, empty):
+    payload = lambda d: d.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
+    out = rows_of(audio.store_and_describe(payload(docs)))
+    texts = Counter((r["text"] or "").encode() for r in rows_of(docs))
+    assert Counter(r["payload"] for r in out) == texts
+    assert all(audio.samples(r["media"]) == r["payload"] for r in out)
+    by_text = {}
+    for r in out:
+        assert by_text.setdefault(r["payload"], r["tensors"]) == r["tensors"]
+    assert audio.store_and_describe(payload(empty)).count() == 0
+    with pytest.raises(ValueError):
+        audio.store_and_describe(docs.select("media", F.lit(b"").alias("payload")))
+
+
+def test_op1_contract(spark, sf_dir):
+    source = {r["doc_id"]: (r["text"] or "").encode() for r in rows_of(queries.documents(spark, sf_dir))}
+    for r in rows_of(queries.op1_audio_features(spark, sf_dir)):
+        body = source[r["doc_id"]]
+        padded = body + b"\0" * (max(64, -(-len(body) // 64) * 64) - len(body))
+        media = audio.wav(padded, audio.AudioSpec().rate)
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(body), len(padded), len(media))
+        assert (r["payload_sha256"], r["media_sha256"]) == (hashlib.sha256(padded).hexdigest(), hashlib.sha256(media).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(padded[-64:])
+
+
+# 2
+
+
+def test_ranker_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    out = {r["doc_id"]: r for r in rows_of(queries.op2_pairwise_quality(spark, sf))}
+    labels = {r["doc_id"]: r["quality"] for r in rows_of(spark.read.parquet(f"{sf}/labels.parquet"))}
+    held = [(out[i]["predicted"], q) for i, q in labels.items() if out[i]["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in out.items())
+    assert sum(p == q for p, q in held) / len(held) > 0.97
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out.values())
+
+
+def test_ranker_edges(spark, docs, empty):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (7, None), (9999, 0)], "doc_id long, quality int")
+    model = ranking.train(docs, labels)
+    assert ranking.score(docs, model).count() == docs.count()
+    assert ranking.score(empty, model).count() == 0
+    with pytest.raises(ValueError):
+        ranking.train(docs, labels.filter("quality = 1"))
+    x, y = np.array([[0.0], [1.0], [2.0], [3.0]]), np.array([0, 0, 1, 1])
+    fitted = ranking.fit_pairs(x, y)
+    assert fitted.weights[0] > 0 and (fitted.score(x) >= 0.5).tolist() == [False, False, True, True]
+
+
+# 3
+
+
+def brute_rules(text):
+    text = text or ""
+    words = WORD.findall(text)
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    often = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(5)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": sum(text.count(c) for c in "#*$%&|<>"), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered), "base_failed": len(words) < 10 or 100 * len(covered) > 20 * len(words)}
+
+
+def test_rules_against_brute_force(spark, docs, empty):
+    more = make(spark, [(i, t, "s") for i, t in enumerate(["a b c d e a b c d e", "a a a a a a a", "x y\nx y\nx y\n\n \n", "1 2 3 4 5 6 1 2 3 4 5 6 7 1 2 3 4 5", "# * $ | <> %&", "a\x0bb\x0cc\rd e  f"])])
+    both = docs.union(more)
+    got = rules.apply_rules(both.withColumn("own", F.col("text")).drop("n_words", "kept"), carry=("doc_id", "own"))
+    for r in rows_of(got):
+        assert {k: r[k] for k in brute_rules("")} == brute_rules(r["own"]), r["own"]
+        assert r["kept"] == (not r["base_failed"] and not r["failed"])
+    assert rules.apply_rules(empty).count() == 0
+    with pytest.raises(ValueError):
+        rules.apply_rules(docs, carry=("n_words",))
+    kept = rules.keep_good(both)
+    assert kept.columns == both.columns
+    assert kept.count() == got.filter("kept").count()
+    assert rules.keep_good(empty).count() == 0
+
+
+def test_rules_run_without_python(spark, docs):
+    plan = rules.keep_good(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_rules_keep_good_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    good = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1")
+    out = queries.op3_quality_rules(spark, sf).join(good, "doc_id")
+    assert out.filter("not kept and not base_failed").count() == 0
+    bad = queries.op3_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 0"), "doc_id")
+    assert bad.filter("not kept").count() > 0.7 * bad.count()
+
+
+# 4
+
+
+def test_poisson_counts_against_inversion(spark, docs):
+    out = rows_of(mixing.mix(docs.withColumn("own", F.col("text")), seed=3).select("doc_id", "source", "__rate", "__count", "__copy", "own"))
+    got = Counter((r["doc_id"], r["source"], r["own"]) for r in out)
+    sizes = Counter(r["source"] for r in rows_of(docs))
+    total = sum(math.sqrt(n) for n in sizes.values())
+    for r in rows_of(docs):
+        rate = sum(sizes.values()) * math.sqrt(sizes[r["source"]]) / total / sizes[r["source"]]
+        own = "null" if r["doc_id"] is None else str(r["doc_id"])
+        u = (int(hashlib.md5(f"3|{own}|1".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        count = sum(c <= u for c in mixing.poisson_cdf(rate))
+        same = sum((x["doc_id"], x["source"], x["text"]) == (r["doc_id"], r["source"], r["text"]) for x in rows_of(docs))
+        assert got[(r["doc_id"], r["source"], r["text"])] == count * same
+
+
+def test_mixing_meets_weights_and_edges(spark, empty):
+    rows = make(spark, [(i, "t", "big" if i % 10 else "small") for i in range(6000)] + [(i, "t", f"gone{i}") for i in range(9000, 9100)])
+    out = mixing.mix(rows, weights={"big": 1.0, "small": 3.0}, epochs=2.0)
+    share = dict(out.groupBy("source").count().collect())
+    n = sum(share.values())
+    assert set(share) == {"big", "small"} and abs(n - 2 * 6100) < 600 and abs(share["small"] / n - 0.75) < 0.03
+    assert mixing.mix(empty).count() == 0
+    assert set(out.columns) == {*rows.columns, "__rate", "__count", "__copy", "__key"}
+
+
+def test_many_sources_and_large_means(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 2)
+    rows = make(spark, [(i, "t", f"s{i % 5}") for i in range(500)])
+    counts = sorted(r["__copy"] for r in rows_of(mixing.mix(rows)))
+    monkeypatch.undo()
+    assert counts == sorted(r["__copy"] for r in rows_of(mixing.mix(rows)))
+    one = make(spark, [(i, "t", "one" if i == 0 else "rest") for i in range(1000)])
+    n = mixing.mix(one, weights={"one": 1.0, "rest": 1.0}).filter("source = 'one'").count()
+    assert abs(n - 500) < 150
+
+
+# 5 and 7
+
+
+def token_ids(text, tokenizer):
+    return tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.vocabulary_path())
+
+
+def test_piece_ids_equal_the_library(tokenizer):
+    pieces = tokens.PieceIds(tokens.vocabulary_path(), limit=500)
+    r = random.Random(5)
+    alphabet = [chr(c) for c in range(1, 0x250)] + list("'stredmlv'ΣσςİıﬁＡ中文字١²½é ́​ \u0085 \t\n")
+    for _ in range(3000):
+        text = "".join(r.choices(alphabet, k=r.randint(0, 14)))
+        if r.random() < 0.1:
+            text = "<|endoftext|>" + text + "<|startoftext|>"
+        assert list(np.frombuffer(pieces.encode(text, b""), "<u4")) == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_packing_invariants(spark, docs, empty, tokenizer):
+    source = [r["text"] for r in rows_of(docs)]
+    out = rows_of(packing.pack(docs))
+    assert sum(r["length"] for r in out) == sum(len(token_ids(t, tokenizer)) for t in source)
+    by_doc = Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in out)
+    want = Counter()
+    for r in rows_of(docs):
+        ids = token_ids(r["text"], tokenizer)
+        for at in range(0, len(ids), 4096):
+            part = ids[at : at + 4096]
+            want[(r["doc_id"], at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))] += 1
+    assert by_doc == want
+    sequences = {}
+    for r in out:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(sequences) == list(range(len(sequences)))
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert packing.pack(empty).count() == 0
+
+
+def test_shortest_pack_first_places_all():
+    r = random.Random(2)
+    for _ in range(60):
+        capacity = r.choice([10, 64, 500])
+        histogram = {n: r.randint(1, 40) for n in r.sample(range(1, capacity + 1), min(capacity, 12))}
+        patterns = packing.shortest_pack_first(histogram, capacity)
+        placed = Counter()
+        for pattern, count in patterns:
+            assert count > 0 and sum(n * k for n, k in pattern) <= capacity
+            for n, k in pattern:
+                placed[n] += k * count
+        assert placed == Counter(histogram)
+        table = packing.place(patterns, capacity)
+        assert (np.diff(table["length"] * (1 << 48) + table["rank"]) > 0).all()
+    assert packing.shortest_pack_first({}, 10) == []
+    # the emptiest pack is filled first
+    assert sorted(c for _, c in packing.shortest_pack_first({6: 1, 5: 1, 4: 1, 3: 1}, 10)) == [1, 1]
+
+
+def test_pfor_blocks_round_trip():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 127, 128, 129, 5000):
+        for high in (1, 2, 50_000, 2**32 - 1):
+            x = r.integers(0, high, n, dtype=np.uint64).astype(np.uint32)
+            x[::37] = 2**32 - 1
+            lengths = np.array([n // 2, n - n // 2], np.uint32)
+            ids, back = pfor.unpack(pfor.pack(x, lengths))
+            assert (ids == x).all() and (back == lengths).all()
+    assert len(pfor.pack(r.integers(0, 49_000, 10_000).astype(np.uint32), np.array([10_000]))) < 26_000
+    with pytest.raises(ValueError):
+        pfor.unpack(b"\0" * 100)
+
+
+def test_pfor_documents_in_order(spark, docs, empty, tokenizer):
+    out = rows_of(pfor.write_and_read(docs, ids_per_segment=1000))
+    source = rows_of(docs)
+    want = Counter((r["doc_id"], len(ids := token_ids(r["text"], tokenizer)), zlib.crc32(np.array(ids, "<u4").tobytes())) for r in source)
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out) == want
+    at = 0
+    ordered = sorted(out, key=lambda r: r["start"])
+    for r in ordered:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    keys = [-1 if r["doc_id"] is None else r["doc_id"] for r in ordered]
+    assert keys == sorted(keys)
+    assert pfor.write_and_read(empty).count() == 0
+
+
+# 6
+
+
+def test_surrogates(spark, empty):
+    cases = [
+        "mail john.doe+x@mail3.example.com now, call +1 (743) 555-3824 or (212) 555-0100.",
+        "card 4785380592391139 ip 152.143.123.131### token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" ssn 123-45-6789",
+        "again 4785-3805-9239-1139 and 1-743-555-3824 JOHN.DOE+X@mail3.example.com",
+        "Mrs. Anna Schmidt met Mr. Ivan Petrov; госпожа Анна Каренина; Dr. Wu",
+        "version 2.0, year 2024, 12,345.67 and 1 2 3 4; no data here.",
+        None, "", "x" * 50_000 + " 10.1.2.3",
+    ]
+    rows = make(spark, [(i, t, "s") for i, t in enumerate(cases)] + [(0, cases[0], "s")])
+    out = {r["doc_id"]: r for r in rows_of(surrogates.pseudonymize(rows, count="n", kinds="kinds"))}
+    assert out[0]["kinds"] == "email,phone,phone" and out[1]["kinds"] == "card,ip,secret,ssn" and out[2]["kinds"] == "card,phone,email"
+    assert out[4]["text"] == cases[4] and out[4]["n"] == 0
+    assert out[5]["text"] is None and out[6]["text"] == "" and out[5]["n"] == 0
+    for secret in ("john.doe", "743", "555-3824", "4785380592391139", "152.143.123.131", "24be6443", "123-45-6789", "Schmidt", "Petrov", "Каренина", "Wu", "10.1.2.3"):
+        assert all(secret not in (r["text"] or "") for r in out.values()), secret
+    # formats, types and coreference
+    one = re.search(r"card (\d{16}) ip ((?:\d+\.){3}\d+)### token = \"([0-9a-f]{40})\" ssn (\d{3}-\d{2}-\d{4})$", out[1]["text"])
+    assert one and all(int(x) < 256 for x in one[2].split("."))
+    two = re.search(r"again (\d{4})-(\d{4})-(\d{4})-(\d{4}) and 1-(\d{3})-(\d{3})-(\d{4}) (\S+@\S+\.com)$", out[2]["text"])
+    assert two and "".join(two.groups()[:4]) == one[1]
+    assert re.search(r"^mail (\S+) now", out[0]["text"])[1] == two[8]
+    assert re.search(r"\+1 \((\d{3})\) (\d{3})-(\d{4})", out[0]["text"])
+    names = re.search(r"^Mrs\. (\w+) (\w+) met Mr\. (\w+) (\w+); госпожа (\w+) (\w+); Dr\. (\w+)$", out[3]["text"])
+    assert names[1] in surrogates.GIVEN["f", "latin"] and names[3] in surrogates.GIVEN["m", "latin"] and names[5] in surrogates.GIVEN["f", "cyrillic"]
+    assert surrogates.pseudonymize(empty).count() == 0
+    assert surrogates.pseudonymize(rows).columns == rows.columns
+
+
+def test_surrogates_are_one_to_one(spark):
+    numbers = [f"+1 ({a:03d}) 555-{b:04d}" for a in range(200, 260) for b in range(100)] + [f"10.0.{a}.{b}" for a in range(60) for b in range(100)] + [f"{a:016d}" for a in range(3000)]
+    made = spark.createDataFrame([(n,) for n in numbers], "e string").select("e", surrogates.surrogate(F.col("e"), "k").alias("s")).collect()
+    assert len({r["s"] for r in made}) == len(numbers)
+    assert all(len(r["s"]) == len(r["e"]) for r in made if not r["e"].startswith("10."))
+    other = spark.createDataFrame([(numbers[0],)], "e string").select(surrogates.surrogate(F.col("e"), "k2").alias("s")).first()[0]
+    assert other != made[0]["s"]
+
+
+def test_collisions_start_another_round(spark, monkeypatch):
+    rows = make(spark, [(1, "a@b.com and c@d.com and A@b.com", "s")])
+    assert surrogates.collisions(rows, "k") == 0
+    monkeypatch.setattr(surrogates, "email_surrogate", lambda e, key: F.lit("x@y.com"))
+    assert surrogates.collisions(rows, "k") == 1
+    seen = []
+
+    def check(docs, key, text):
+        seen.append(key)
+        return len(seen) < 3
+
+    assert surrogates.pick_round(rows, "k", check=check) == "k|round2" and len(set(seen)) == 3
+    with pytest.raises(RuntimeError):
+        surrogates.pick_round(rows, "k", check=lambda *a, **b: 1)
+
+
+def test_surrogates_run_without_python(spark, docs):
+    plan = surrogates.pseudonymize(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
+# 8
+
+
+def brute_unigrams(texts, train):
+    ends = [[w.lower() for w in (t or "").encode().split()] + [None] for t in texts]
+    counts = Counter(w for t, own in zip(ends, train, strict=True) if own for w in t)
+    n, v = sum(counts.values()), len(counts)
+    return [(len(t), sum(counts[w] > 0 for w in t), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t)) for t in ends]
+
+
+@pytest.mark.parametrize("head", [500_000, 20])
+def test_language_model_base(spark, docs, head):
+    flagged = docs.select("doc_id", "text", (F.coalesce(F.col("doc_id"), F.lit(0)) % 5 == 2).alias("held"))
+    rows = rows_of(flagged)
+    want = brute_unigrams([r["text"] for r in rows], [not r["held"] for r in rows])
+    got = rows_of(bloomlm.score(flagged, flagged.filter("not held"), flag="held", max_head=head))
+    key = lambda x: tuple(round(float(v), 6) for v in x)
+    assert sorted(key((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"])) for r in got) == sorted(map(key, want))
+    assert all(r["score"] < 0 for r in got)
+    seen = [r["score"] / r["n_tokens"] - r["base_score"] / r["n_tokens"] for r in got if not r["held"] and r["n_tokens"] > 20]
+    assert np.mean(seen) > 0
+
+
+def test_language_model_edges(spark, docs, empty):
+    flag = lambda d: d.select("doc_id", "text", F.lit(True).alias("held"))
+    assert bloomlm.score(flag(empty), flag(empty), flag="held").count() == 0
+    got = rows_of(bloomlm.score(flag(docs), flag(empty), flag="held"))
+    assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["base_score"] == 0 for r in got)
+
+
+def test_filter_gives_levels(spark):
+    texts = spark.createDataFrame([(" ".join(["a"] * 40 + ["b"] * 5 + ["c"]),)] * 3, "text string")
+    held, totals = bloomlm.build_filter(bloomlm.count_ngrams(texts, tokens_per_flush=50))
+    h = np.array([bloomlm.TokenHashes()[w] for w in (b"a", b"b", b"c", b"zzz")], np.uint64)
+    assert held.levels(h, 1).tolist() == [7, 4, 2, 0]
+    assert totals["tokens"] == 3 * 47 and totals["distinct"] == 4
+    stranger = np.random.default_rng(0).integers(0, 2**63, 20_000, dtype=np.uint64)
+    assert (held.levels(stranger, 2) > 0).mean() < 0.001
+    small, _ = bloomlm.build_filter(bloomlm.count_ngrams(texts), max_bytes=1 << 4)
+    assert small.least > 1 and small.levels(h, 1)[0] > 0
+
+
+# 9
+
+
+def brute_classes(rows, n=5, threshold=0.8):
+    grams = []
+    for _, t in rows:
+        w = (t or "").encode().split()
+        grams.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    links = Counter()
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if grams[a] and len(grams[a] & grams[b]) >= threshold * len(grams[a] | grams[b]) - 1e-9 and grams[b]:
+            links[a] += 1
+            links[b] += 1
+            up[max(root(a), root(b))] = min(root(a), root(b))
+    return [(rows[i][0], min(rows[j][0] for j in range(len(rows)) if root(j) == root(i)), links[i]) for i in range(len(rows))]
+
+
+def near_copies(seed, groups=12):
+    r = random.Random(seed)
+    rows, i = [], 0
+    for g in range(groups):
+        words = prose(1000 + seed + g, r.randint(30, 200)).split(" ")
+        for _ in range(r.choice([1, 2, 3, 12])):
+            own = list(words)
+            for _ in range(r.randint(0, 5)):
+                own[r.randrange(len(own))] = f"new{r.random()}"
+            rows.append((i, " ".join(own)))
+            i += 1
+    rows += [(i, rows[0][1]), (i + 1, rows[0][1]), (i + 2, "a b c"), (i + 3, "a b  c"), (i + 4, ""), (i + 5, None), (i + 6, "a b c d")]
+    return rows
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_jaccard_join_against_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", block)
+    rows = near_copies(3)
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in rows_of(got)) == sorted(brute_classes(rows))
+
+
+def test_jaccard_edges(spark, docs, empty):
+    out = rows_of(jaccard.join(docs))
+    assert len(out) == docs.count()
+    by = {r["doc_id"]: r for r in out}
+    assert by[104]["class_id"] == 3 and by[104]["n_links"] == 2 and by[100]["class_id"] == 100
+    assert jaccard.join(empty).count() == 0
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in rows_of(kept)]
+    assert 104 not in ids and 3 in ids and 100 in ids and 101 in ids
+    assert jaccard.keep_one(empty).count() == 0
+
+
+def test_repeated_rows_keep_one(spark):
+    rows = make(spark, [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (2, "q w e r t y", "s")])
+    assert sorted(r["doc_id"] for r in rows_of(jaccard.keep_one(rows))) == [1, 2]
+
+
+def test_pruning_never_drops_at_the_threshold():
+    steps = jaccard.least_matches(0.8, 1e-6)
+    r = np.random.default_rng(0)
+    a = r.integers(0, 2**32, (4000, jaccard.HASHES), dtype=np.uint64).astype(np.uint32)
+    b = np.where(r.random(a.shape) < 0.8, a, a + 1)
+    assert jaccard.prune(a, b, steps).all()
+    c = np.where(r.random(a.shape) < 0.3, a, a + 1)
+    assert jaccard.prune(a, c, steps).mean() < 0.001
+
+
+def test_overlaps_are_exact():
+    r = random.Random(1)
+    sets = [np.array(sorted(r.sample(range(40_000), r.randint(1, 12_000))), np.uint64) for _ in range(9)]
+    got = jaccard.overlaps(sets[:4], sets[4:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:4]]
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (200, 200), (7, 3)]
+    out = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(out[i] == 0 for i in range(61)) and out[102] == 100 and 200 not in out
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 10
+
+
+def brute_tokens(word, trie):
+    best = [(0.0, 0)]
+    for e in range(1, len(word) + 1):
+        c = word[e - 1]
+        k = len(c.encode())
+        options = [] if c in trie.score else [(best[e - 1][0] + trie.byte * k, best[e - 1][1] - k)]
+        options += [(best[a][0] + trie.score[word[a:e]], best[a][1] - 1) for a in range(e) if word[a:e] in trie.score]
+        best.append(max(options))
+    return -best[-1][1]
+
+
+def test_trie_counts_against_brute_force(spark, docs, empty):
+    trie = triecount.UnigramTrie(triecount.pieces_of(tokens.vocabulary_path("piece_bpe_32k.model")), max_nodes=300)
+    for r in rows_of(triecount.count_tokens(docs.select("doc_id", "text", F.col("text").alias("own")))):
+        assert set(r) == {"doc_id", "n_words", "n_tokens"}
+    texts = [r["text"] for r in rows_of(docs) if r["text"] and len(r["text"]) < 6000]
+    for w in {w for t in texts for w in WORD.findall(t)}:
+        assert trie([w]) == brute_tokens(triecount.MARK + w, trie), w
+    shared = len(trie.best)
+    trie.reset()
+    trie(["abcdef"])
+    nodes = len(trie.best)
+    trie(["abcdeg"])
+    assert len(trie.best) == nodes + 1 and shared
+    assert triecount.count_tokens(empty).count() == 0
+    counts = Counter(r["n_tokens"] for r in rows_of(triecount.count_tokens(docs)))
+    assert counts[0] == 4  # two null texts, an empty one, one of white space
+
+
+def test_schema_types_survive(spark):
+    rows = spark.createDataFrame([("a", "one two"), ("b", None)], T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("text", T.StringType())]))
+    assert pfor.write_and_read(rows).schema["doc_id"].dataType == T.StringType()
+    assert packing.pack(rows).count() == 2

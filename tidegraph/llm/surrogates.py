@@ -4,8 +4,8 @@ A pattern finds the entities of a text; each is replaced in place by a function
 one entity has one surrogate in all documents (coreference) and any executor finds it without a lookup:
 
 * phone, card, account and social-security numbers: their digits pass through a keyed Feistel network over the
-  numbers of that many digits, which is one-to-one; all other characters, and so the format, stay.  "+1 (212)
-  555-0100" and "1-212-555-0100" have equal digits and get equal digits.  A country's "+1" and a leading bank code's letters stay.
+  numbers of that many digits, which is one-to-one; all other characters, and so the format, stay, as
+  do a country's code and an account's letters: "+1 (212) 555-0100" and "1-212-555-0100" get equal digits.
 * IP addresses: the same over 32-bit numbers; four octets come out.
 * e-mail addresses: a local part and host of hashed letters, the top-level domain kept.
 * secrets: each letter, digit and hex digit is replaced by one of its kind, from a 512-bit hash.
@@ -202,7 +202,7 @@ def surrogate(entity: Column, key: str) -> Column:
     kind = type_of(entity)
     none = F.lit(0)
     # the country code of a number with "+" stays
-    country = F.when(entity.startswith("+1"), 1).when(entity.rlike(r"^\+\d{2,3}[ .\-(]"), F.length(F.regexp_extract(entity, r"^\+(\d+)", 1))).otherwise(0).cast("int")
+    country = F.when(entity.rlike(r"^\+1|^1[ .\-]"), 1).when(entity.rlike(r"^\+\d{2,3}[ .\-(]"), F.length(F.regexp_extract(entity, r"^\+(\d+)", 1))).otherwise(0).cast("int")
     return let(
         kind,
         lambda k: F.when(k == "email", email_surrogate(entity, f"{key}|email"))
