@@ -201,7 +201,7 @@ def build_manifest(spark: SparkSession, root: str, write: bool = True) -> dict:
     base = str(root).rstrip("/")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(base)
     digests = {r["path"]: r["d"] for r in files.select("path", F.sha2("content", 256).alias("d")).collect()}  # a row per chunk
-    rows = {r["p"]: r["n"] for r in spark.read.option("recursiveFileLookup", True).parquet(base).groupBy(F.col("_metadata.file_path").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = {r["p"]: r["n"] for r in spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(base).groupBy(F.col("_metadata.file_path").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     at = lambda table, key: next((v for k, v in table.items() if k.endswith("/" + key)), 0)
     chunks = [{"key": k, "sha256": at(digests, k), "size": n, "rows": at(rows, k)} for k, n in sorted(sizes.items())]
     manifest = {"format": "tidegraph.chunks", "version": "0.1.0", "merkle": {"algorithm": "sha256", "tree": "balanced-binary", "root": merkle_root([(c["key"], c["sha256"]) for c in chunks])}, "chunks": chunks}
