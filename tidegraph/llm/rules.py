@@ -73,13 +73,14 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
 
     def starts(s: Column) -> Column:
         hit = F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]))
-        return F.array_sort(F.transform(hit, lambda x: x["i"]))
+        return F.sort_array(F.transform(hit, lambda x: x["i"]))
 
     def covered(p: Column) -> Column:
         gaps = F.transform(p, lambda x, i: F.least(F.lit(window), F.coalesce(F.get(p, i + 1) - x, F.lit(window))))
         return F.aggregate(gaps, F.lit(0).cast("bigint"), lambda total, x: total + x)
 
-    counted = let(F.array_sort(hashed(words)), lambda s: let(starts(s), covered))
+    # the words are bound too: written out inside the lambda, the split would be made anew for each window
+    counted = let(words, lambda w: let(F.sort_array(hashed(w)), lambda s: let(starts(s), covered)))
     return F.when(F.size(words) < window + 1, F.lit(0).cast("bigint")).otherwise(counted)
 
 
