@@ -142,6 +142,15 @@ def test_metrics(spark):
             metric(spark, op, **{name: series(values, name=name)})
 
 
+def test_drawdown_in_chunks(spark, monkeypatch):
+    from tidegraph.operators import ordered
+
+    values = [float((i * 37) % 101 + 1) for i in range(60)]
+    whole = metric(spark, A.MaxDrawdown, equity=series(values, name="equity"))
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 7)
+    assert metric(spark, A.MaxDrawdown, equity=series(values, name="equity")) == pytest.approx(whole)
+
+
 def test_metrics_and_missing_values(spark):
     holes = series([1, None, 3], name="returns")
     with pytest.raises(A.ExecutionError, match="missing values"):

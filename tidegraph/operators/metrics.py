@@ -90,14 +90,23 @@ Mae = _regression("Mae", "mae", F.abs)
 class MaxDrawdown(Metric):
     """Largest fall from a running peak above zero, relative to the peak.
 
-    The running peak of numbered chunks would do at any size; here the peak is a window over one ordered frame.
+    Large frames are cut into chunks of consecutive rows: each chunk starts from the highest value of those before it.
     """
 
     COLUMNS, NAME, MIN_ROWS = ("equity",), "max_drawdown", 2
 
     def prepare(self, df, t):
-        w = Window.orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn("peak", F.max("equity").over(w))
+        from tidegraph.operators.ordered import CHUNK_ROWS, in_chunks
+        from tidegraph.plans.frames import CHUNK, INDEX
+
+        so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+        if df.count() <= CHUNK_ROWS:
+            return df.withColumn("peak", F.max("equity").over(so_far(Window.orderBy(t))))
+        rows = in_chunks(df, t, CHUNK_ROWS)
+        tops = rows.groupBy(CHUNK).agg(F.max("equity").alias("top"))  # a row for each chunk
+        tops = tops.select(CHUNK, F.max("top").over(Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+        own = F.max("equity").over(so_far(Window.partitionBy(CHUNK).orderBy(INDEX)))
+        return rows.join(tops, CHUNK).withColumn("peak", F.greatest(own, "before"))
 
     def value(self, t):
         return F.max(F.when(F.col("peak") > 0, (F.col("peak") - F.col("equity")) / F.col("peak")).otherwise(0.0))
