@@ -9,8 +9,8 @@ _LIST = ", ".join(f"'{w}'" for w in STOP_WORDS)
 OP3 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, string_split(t, chr(10)) AS ls FROM d),
-g AS (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) > 5),
-h AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(ws[i:i+4], ' ')) AS n FROM g),
+g AS (SELECT r, i, array_to_string(ws[i:i+4], ' ') AS s FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) > 5)),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM g),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM h, range(0, 5) AS x(k) WHERE n > 1 GROUP BY r),
 good AS (SELECT r, list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS own FROM w),
 m AS (
