@@ -16,8 +16,9 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,8 +56,10 @@ def staged(df: DataFrame) -> DataFrame:
 class Timeline:
     """One row per timestamp; grows columns as nodes are lowered onto it."""
 
-    def __init__(self, df: DataFrame, chunking: Chunking, indexed: bool = False):
+    def __init__(self, df: DataFrame, chunking: Chunking, indexed: bool = False, size: Callable[[], int] | None = None):
+        """size: gives an upper bound of the rows, more cheaply than counting ``df`` would."""
         self.df, self.chunking, self.indexed = df, chunking, indexed
+        self.size = lru_cache(maxsize=1)(size or df.count)
         self.counted = indexed
         self.serial = next(_serial)
 
@@ -68,7 +71,7 @@ class Timeline:
         if self.counted:
             return
         self.counted = True
-        if self.df.count() <= self.chunking.above:
+        if self.size() <= self.chunking.above:
             return
         self.df = numbered(self.df)
         self.indexed = True
@@ -103,7 +106,7 @@ class Timeline:
 
     def filtered(self, condition: Column) -> Timeline:
         df = self.df.filter(condition)
-        return Timeline(df.drop(INDEX) if self.indexed else df, self.chunking)
+        return Timeline(df.drop(INDEX) if self.indexed else df, self.chunking, size=self.size)
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -141,7 +144,8 @@ def source_frame(df: DataFrame, time: str, names: list[str], chunking: Chunking,
         picked = picked.groupBy(TIME).agg(F.max_by(whole, "__seq").alias("__row")).select(TIME, *[F.col(f"__row.{c}").alias(c) for c in columns.values()])
     else:
         picked = picked.drop("__seq")
-    return Frame(Timeline(picked, chunking), columns)
+    # before times are made unique: Parquet footers know it without reading rows
+    return Frame(Timeline(picked, chunking, size=df.count), columns)
 
 
 def within(now: Column, then: Column, tolerance: Tolerance) -> Column:
@@ -168,7 +172,7 @@ def align(wanted: list[tuple[Frame, str, Tolerance | None]], chunking: Chunking)
         parts.append(line.df.select(TIME, F.struct(F.col(TIME).alias("t"), *used).alias(f"p{k}")))
     joined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     union = joined.groupBy(TIME).agg(*[F.first(f"p{k}", ignorenulls=True).alias(f"p{k}") for k in range(len(lines))])
-    line = Timeline(union, chunking)
+    line = Timeline(union, chunking, size=lambda: sum(x.size() for x in lines))
     line.index()
     carried = {f"m{k}": f"p{k}" for k in range(len(lines))}
     if line.indexed:

@@ -253,7 +253,7 @@ class Executor:
         schema = T.StructType([T.StructField(TIME, df.schema[TIME].dataType), *[T.StructField(c.name, c.spark) for c in outputs]])
         out = node.op.run(df, TIME, kinds, schema)
         # whole-frame results are computed once, however many nodes read them
-        return Frame(Timeline(out.persist(), self.chunking), {c.name: c.name for c in outputs})
+        return Frame(Timeline(out.persist(), self.chunking, size=line.size), {c.name: c.name for c in outputs})
 
     # the cache
 
