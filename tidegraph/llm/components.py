@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm.common import stage
 
+#: Edges for each task of a round: a round of few edges takes few tasks, whatever the session's shuffle partitions.
+EDGES_PER_TASK = 400_000
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+
+def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     """Each node links its neighbours (large: those above it; small: those not above it, and itself) to the least of them."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
@@ -20,8 +23,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         out = linked.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
-        out = linked.filter(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.filter(F.col("a") != F.col("b")).distinct()
+        # the node itself goes along as one more neighbour
+        out = linked.select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b"))
+    return out.filter(F.col("a") != F.col("b")).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
@@ -29,11 +33,12 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
 
     Each round is written to the shared folder; it ends when a round changes nothing.  An empty table has no nodes.
     """
-    now = stage(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "edges")
-    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+    now = stage(edges.select("a", "b").filter(F.col("a") != F.col("b")), "edges")
+    mark = lambda df: tuple(df.coalesce(64).agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
     seen = mark(now)
     for _ in range(most_rounds if seen[0] else 0):
-        now = stage(_star(_star(now, True), False), "edges")
+        tasks = max(1, seen[0] // EDGES_PER_TASK)
+        now = stage(_star(_star(now.coalesce(tasks), True, tasks), False, tasks), "edges")
         after = mark(now)
         if after == seen:
             break
@@ -41,4 +46,5 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     else:
         if seen[0]:
             raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+    tasks = max(1, seen[0] // EDGES_PER_TASK)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct()).coalesce(tasks)
