@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from tidegraph.llm.common import stage
 from tidegraph.llm.components import components
+from tidegraph.llm.idfilter import mark
 
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
@@ -318,6 +319,8 @@ def join(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", n: i
     sizes = member.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("bigint").alias("blocks"))
     wanted = member.select("node", "grp", "copies", "sig", F.col("least").alias("__id"))
     source = docs.select(F.col(id_column).alias("__own"), F.col(text).alias("__text"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("__node"))
+    # only the texts of grouped nodes move
+    source = mark(source, "__own", wanted.select("__id")).filter("__maybe").drop("__maybe")
     whole = source.join(wanted, source["__own"].eqNullSafe(wanted["__id"]) & (F.col("__node") == F.col("node")))
     whole = whole.select("node", "grp", "copies", "sig", "__text")
     units = _units(whole, sizes, "blocks")
@@ -370,7 +373,11 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text",
     Rows of null id stay only if no row of their class has an id; of rows that share id and text, one stays.
     """
     classes = join(docs, id_column=id_column, text=text, **options)
-    firsts = classes.filter(F.col(id_column).eqNullSafe(F.col("class_id"))).groupBy(F.col(id_column).alias("__first")).agg(F.count(F.lit(1)).alias("n"))
-    firsts = stage(firsts, "firsts")
-    kept = docs.join(firsts.select("__first"), docs[id_column].eqNullSafe(F.col("__first")), "left_semi")
+    state = stage(classes.select(F.col(id_column).alias("id"), F.col(id_column).eqNullSafe(F.col("class_id")).alias("first")), "firsts")
+    firsts = state.filter("first").groupBy(F.col("id").alias("__first")).agg(F.count(F.lit(1)).alias("n"))
+    # documents that surely stay do not move; the others are looked up
+    marked = mark(docs, id_column, state.filter("not first").select("id"))
+    sure, rest = marked.filter("not __maybe").drop("__maybe"), marked.filter("__maybe").drop("__maybe")
+    looked = rest.join(firsts.select("__first"), rest[id_column].eqNullSafe(F.col("__first")), "left_semi")
+    kept = sure.unionByName(looked)
     return kept.dropDuplicates([id_column, text]) if firsts.filter("n > 1").limit(1).count() else kept
