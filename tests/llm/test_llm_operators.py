@@ -401,6 +401,38 @@ def test_language_model_base(spark, docs, head):
     assert np.mean(seen) > 0
 
 
+def test_model_score_keeps_rare_ngrams(spark, docs):
+    flagged = docs.select("doc_id", "text", (F.coalesce(F.col("doc_id"), F.lit(0)) % 5 == 2).alias("held"))
+    rows = rows_of(flagged)
+    texts = [[w.lower() for w in (r["text"] or "").encode().split()] + [None] for r in rows]
+    pairs = [list(zip([None, *t], t, strict=False)) for t in texts]
+    one = Counter(w for t, r in zip(texts, rows, strict=True) if not r["held"] for w in t)
+    two = Counter(p for t, r in zip(pairs, rows, strict=True) if not r["held"] for p in t)
+    n, v = sum(one.values()), len(one)
+    weight = 1 - sum(c == 1 for c in two.values()) / n
+    mid = lambda c: c if c < 2 else 2 ** (c.bit_length() - 0.5)
+
+    def log_p(a, b):
+        p1 = (mid(one[b]) + 1) / (n + v + 1)
+        return math.log10(weight * min(1.0, mid(two[a, b]) / mid(one[a])) + (1 - weight) * p1 if one[a] else p1)
+
+    want = sorted((len(t), sum(log_p(*p) for p in t)) for t in pairs)
+    for train in (flagged.filter("not held"), ~F.col("held")):
+        got = rows_of(bloomlm.score(flagged, train, flag="held", max_bytes=1 << 4))
+        # a Bloom filter may give single n-grams a level too many
+        for own, other in zip(sorted((r["n_tokens"], r["score"]) for r in got), want, strict=True):
+            assert own == pytest.approx(other, rel=1e-3)
+
+
+def test_blocks_of_any_size_hold_all_rows(spark, docs):
+    rows = docs.select("doc_id", "n_chars", "text")
+    for size in (1, 1000, 1 << 24):
+        bodies = [r["body"] for r in bloomlm.pack_blocks(rows, bytes_per_block=size).collect()]
+        tables = [pa.ipc.open_stream(bytes(b)).read_all() for b in bodies]
+        assert Counter(pa.concat_tables(tables)["text"].to_pylist()) == Counter(r["text"] for r in rows_of(rows))
+        assert len(tables) > 8 or size == 1 << 24
+
+
 def test_language_model_edges(spark, docs, empty):
     flag = lambda d: d.select("doc_id", "text", F.lit(True).alias("held"))
     assert bloomlm.score(flag(empty), flag(empty), flag="held").count() == 0

@@ -5,11 +5,12 @@ quantised count: 1 + floor(log2(count)) levels.  Scoring probes level after leve
 level's middle count, and interpolates the bigram's relative frequency with the add-one unigram probability; the
 bigram's weight is one minus the Good-Turing mass of unseen bigrams.
 
-How it scales: counts move as sorted blocks of hashes, keyed by order and hash prefix, so no key is hot; a prefix
-owns its own part of the filter, so parts are built where their counts lie.  The filter grows with the n-grams up to
-``max_bytes``; from there on n-grams below a power-of-two count, chosen from the histogram of counts, are left out,
-as frequency cut-offs do in any n-gram model.  It is broadcast; so is the table of the commonest tokens' exact
-counts, of at most ``max_head`` rows.  Exact counts of all rarer tokens come by a join.
+How it scales: texts are staged in blocks.  Each block sends its distinct n-grams, with their training counts, as
+sorted hashes to the owners of their order and hash prefix, so no key is hot.  An owner adds the counts up, builds its
+own part of the filter, sized by the part's entries, probes it for the n-grams of every block and answers with levels
+and, for tokens, exact counts.  Block and answers meet by block number.  No n-gram is left out at any size of corpus,
+and nothing but three sums reaches the driver.  :func:`build_filter` makes the filter as one object instead, for
+corpora small enough for that; ``score`` does not use it.
 
 Tokens are the words of the text with A-Z in lower case, then one end token; 64-bit hashes stand for tokens, 60-bit
 hashes for bigrams.  Defined results: null text counts as empty and has the end token only; with no training
@@ -23,8 +24,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,9 +61,12 @@ END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line end
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * _M1
-    x = (x ^ (x >> np.uint64(29))) * _M2
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(33))
+    x *= _M1
+    x ^= x >> np.uint64(29)
+    x *= _M2
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def token_arrays(bodies: list[bytes], hashes: TokenHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -104,9 +109,13 @@ def unpack_hashes(body: bytes, order: int, prefix: int) -> np.ndarray:
     return out.reshape(-1).view("<u8") | (np.uint64(prefix) << np.uint64(64 - PREFIX_BITS))
 
 
-def _blocks(h: np.ndarray, order: int):
-    """Sorted (key, packed hashes, packed counts) of one batch of n-grams, a row for each prefix."""
-    values, counts = np.unique(shorten(h, order), return_counts=True)
+def _blocks(h: np.ndarray, order: int, learn: np.ndarray | None = None):
+    """Sorted (key, packed hashes, packed counts) of one batch of n-grams, a row for each prefix; ``learn`` marks those that count."""
+    if learn is None:
+        values, counts = np.unique(shorten(h, order), return_counts=True)
+    else:
+        values, at = np.unique(shorten(h, order), return_inverse=True)
+        counts = np.bincount(at[learn], minlength=len(values))
     counts = counts.astype("<u4")
     edges = np.searchsorted(values, np.arange(PREFIXES + 1, dtype=np.uint64) << np.uint64(64 - PREFIX_BITS))
     edges[-1] = len(values)  # the last start wraps to 0
@@ -119,6 +128,11 @@ def _blocks(h: np.ndarray, order: int):
         yield order * PREFIXES + p, packed[a * kept : b * kept], body[a * width : b * width]
 
 
+def part_counts(hashes: bytes, counts: bytes, order: int) -> np.ndarray:
+    """The counts of one row of :func:`_blocks`, packed in one byte or four each."""
+    return np.frombuffer(counts, np.uint8 if len(counts) * KEPT[order] == len(hashes) else "<u4").astype(np.int64)
+
+
 def count_ngrams(texts: DataFrame, *, tokens_per_flush: int = 1_500_000) -> DataFrame:
     """The staged counts: (key, hashes, counts u4, levels) for each order and prefix; ``texts`` has one column."""
 
@@ -148,7 +162,7 @@ def count_ngrams(texts: DataFrame, *, tokens_per_flush: int = 1_500_000) -> Data
         def total(key: int, parts: list[tuple[bytes, bytes]]):
             order, prefix = divmod(key, PREFIXES)
             h = np.concatenate([unpack_hashes(a, order, prefix) for a, _ in parts])
-            c = np.concatenate([np.frombuffer(b, np.uint8 if len(b) * KEPT[order] == len(a) else "<u4").astype(np.int64) for a, b in parts])
+            c = np.concatenate([part_counts(a, b, order) for a, b in parts])
             at = np.argsort(h, kind="stable")
             h, c = h[at], c[at]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -202,6 +216,28 @@ def probe_bits(h: np.ndarray, level: int, blocks: int) -> np.ndarray:
     return (block[:, None] << np.uint64(9)) | ((g[:, None] >> shifts) & np.uint64(BLOCK_BITS - 1))
 
 
+def fill(h: np.ndarray, q: np.ndarray, blocks: int) -> np.ndarray:
+    """A part's bits (uint8) with each n-gram held at the levels 1 to ``q``."""
+    part = np.zeros(blocks * BLOCK_BITS, bool)
+    for level in range(1, int(q.max(initial=0)) + 1):
+        part[probe_bits(h[q >= level], level, blocks).astype(np.int64).ravel()] = True
+    return np.packbits(part, bitorder="little")
+
+
+def probe(bits: np.ndarray, h: np.ndarray, blocks: int, base: np.ndarray | None = None) -> np.ndarray:
+    """How many levels from 1 on hold each n-gram, until one misses; ``base`` is where its part's bits begin."""
+    out = np.zeros(len(h), np.int64)
+    live = np.arange(len(h))
+    for level in range(1, LEVELS + 1):
+        at = probe_bits(h[live], level, blocks).astype(np.int64)
+        at = at if base is None else at + base[live, None]
+        live = live[((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)]
+        if not len(live):
+            break
+        out[live] = level
+    return out
+
+
 @dataclass(frozen=True)
 class Filter:
     """The log-frequency filter: for each order, n-grams from level ``least`` on."""
@@ -215,21 +251,15 @@ class Filter:
         h = shorten(h, order)
         if order == 2:
             h = h ^ np.uint64(1 << 19)
-        out = np.zeros(len(h), np.int64)
-        live = np.arange(len(h))
-        base = prefix_of(h) * (self.blocks * BLOCK_BITS)
-        for level in range(1, LEVELS + 1):
-            at = probe_bits(h[live], level, self.blocks).astype(np.int64) + base[live, None]
-            hit = ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
-            live = live[hit]
-            if not len(live):
-                break
-            out[live] = level + self.least - 1
-        return out
+        found = probe(self.bits, h, self.blocks, prefix_of(h) * (self.blocks * BLOCK_BITS))
+        return np.where(found > 0, found + self.least - 1, 0)
 
 
 def build_filter(counts: DataFrame, *, max_bytes: int = 32 << 20, bits_per_entry: int = 8) -> tuple[Filter, dict]:
-    """The filter and the totals {tokens, distinct, bigrams, once}."""
+    """The filter as one object, and the totals {tokens, distinct, bigrams, once}.
+
+    To fit ``max_bytes`` it leaves out n-grams below a power-of-two count; ``score`` does not use it.
+    """
     stats = counts.select("key", "levels", "total").collect()  # at most 2 * PREFIXES rows
     levels = {o: np.zeros(LEVELS + 1, np.int64) for o in KEPT}
     tokens = 0
@@ -255,10 +285,7 @@ def build_filter(counts: DataFrame, *, max_bytes: int = 32 << 20, bits_per_entry
                 h, q = unpack_hashes(a, order, prefix), level_of(counts_of(a, b, order)) - least + 1
                 if order == 2:
                     h = h ^ np.uint64(1 << 19)
-                part = np.zeros(blocks * BLOCK_BITS, bool)
-                for level in range(1, int(q.max(initial=0)) + 1):
-                    part[probe_bits(h[q >= level], level, blocks).astype(np.int64).ravel()] = True
-                yield pa.RecordBatch.from_arrays([pa.array([prefix], pa.int32()), pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())], names=["prefix", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([prefix], pa.int32()), pa.array([fill(h, q, blocks).tobytes()], pa.binary())], names=["prefix", "part"])
 
     bits = np.zeros((PREFIXES, size // PREFIXES), np.uint8)
     parts = counts.select("key", "hashes", "counts").mapInArrow(build, "prefix int, part binary")
@@ -268,84 +295,164 @@ def build_filter(counts: DataFrame, *, max_bytes: int = 32 << 20, bits_per_entry
     return Filter(bits.reshape(-1), blocks, least), totals
 
 
-def token_rows(counts: DataFrame, least: int, below: int | None = None) -> DataFrame:
-    """(hash, count) of tokens that occur at least ``least`` and, if given, under ``below`` times."""
+def pack_blocks(rows: DataFrame, *, bytes_per_block: int = 8 << 20) -> DataFrame:
+    """The staged blocks: (block, body); a body is a compressed Arrow stream of consecutive ``rows``, whose third column is text."""
+
+    def pack(batches):
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        held, size = [], 0
+
+        def row():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+                for b in held:
+                    out.write_batch(b)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "body"])
 
-    def rows(batches):
         for batch in batches:
-            for key, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                h, c = unpack_hashes(a, 1, key % PREFIXES), counts_of(a, b, 1)
-                own = c >= least if below is None else (c >= least) & (c < below)
-                yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(c[own])], names=["hash", "count"])
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                done = int(ends[start - 1]) if start else 0
+                stop = min(int(np.searchsorted(ends, done + bytes_per_block - size)) + 1, batch.num_rows)
+                held.append(batch.slice(start, stop - start))
+                size += int(ends[stop - 1]) - done
+                start = stop
+                if size >= bytes_per_block:
+                    yield row()
+                    held, size, block = [], 0, block + 1
+        if held:
+            yield row()
+
+    return stage(rows.mapInArrow(pack, "block bigint, body binary"), "lm-blocks")
+
+
+def answers(blocks: DataFrame, *, bits_per_entry: int = 8) -> DataFrame:
+    """The staged answers: (block, key, counts, levels) of the sorted n-grams of each block, order and prefix.
+
+    Rows of no block hold, for each key, the sums ``total`` of counts, ``distinct`` n-grams and those seen ``once``.
+    """
 
-    return counts.filter(F.col("key") < 2 * PREFIXES).select("key", "hashes", "counts").mapInArrow(rows, "hash bigint, count bigint")
+    def ask(batches):
+        hashes = TokenHashes(200_000)
+        for batch in batches:
+            for block, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                texts = pa.ipc.open_stream(body.as_buffer()).read_all()
+                tokens, sizes = token_arrays([b or b"" for b in texts.column(2).cast(pa.binary()).to_pylist()], hashes)
+                learn = np.repeat(texts.column("learn").to_numpy(), sizes)
+                asks = block if pc.any(texts.column("ask")).as_py() else None
+                del texts
+                for order in KEPT:
+                    h = tokens if order == 1 else bigrams(tokens)
+                    rows = list(_blocks(h if asks is not None else h[learn], order, learn if asks is not None else None))
+                    for at in range(0, len(rows), 1024):
+                        keys, a, b = zip(*rows[at : at + 1024], strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([asks] * len(keys), pa.int64()), pa.array(keys, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["block", "key", "hashes", "counts"])
+
+    def answer(batches):
+        names = ["block", "key", "counts", "levels", "total", "distinct", "once"]
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+
+        def reply(key: int, parts: list[tuple[int | None, bytes, bytes]]):
+            order, prefix = divmod(key, PREFIXES)
+            h = np.concatenate([unpack_hashes(a, order, prefix) for _, a, _ in parts])
+            c = np.concatenate([part_counts(a, b, order) for _, a, b in parts])
+            distinct, at = np.unique(h, return_inverse=True)
+            c = np.bincount(at, c, len(distinct)).astype(np.int64)  # exact below 2 ** 53
+            q = level_of(c)
+            size = 1
+            while size * BLOCK_BITS < int(q.sum()) * bits_per_entry:
+                size *= 2
+            levels = probe(fill(distinct, q, size), distinct, size).astype(np.uint8)
+            rows = [(None, key, None, None, int(c.sum()), int((c > 0).sum()), int((c == 1).sum()))]
+            end = 0
+            for block, a, _ in parts:
+                start, end = end, end + len(a) // KEPT[order]
+                if block is not None:
+                    own = at[start:end]
+                    rows.append((block, key, c[own].astype("<i8").tobytes() if order == 1 else None, levels[own].tobytes(), 0, 0, 0))
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
+        now, parts = None, []
+        for batch in batches:
+            for block, key, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key != now:
+                    if parts:
+                        yield reply(now, parts)
+                    now, parts = key, []
+                parts.append((block, a, b))
+        if parts:
+            yield reply(now, parts)
 
-def score(docs: DataFrame, train: DataFrame, *, id_column: str = "doc_id", text: str = "text", flag: str, max_head: int = 500_000, max_bytes: int = 32 << 20) -> DataFrame:
+    rows = blocks.mapInArrow(ask, "block bigint, key int, hashes binary, counts binary")
+    by_key = rows.repartition("key").sortWithinPartitions("key")
+    return stage(by_key.mapInArrow(answer, "block bigint, key int, counts binary, levels binary, total bigint, distinct bigint, once bigint"), "lm-answers")
+
+
+def score(docs: DataFrame, train: DataFrame | Column, *, id_column: str = "doc_id", text: str = "text", flag: str, max_head: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """(id, flag, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
-    ``train`` holds the texts to learn from in column ``text``; ``flag`` is a boolean column of ``docs``.
+    ``train`` holds the texts to learn from in column ``text``, or is a condition on the rows of ``docs``, which saves
+    a pass; ``flag`` is a boolean column of ``docs``.  ``max_head`` and ``max_bytes`` bounded what was broadcast;
+    nothing is any more, and they have no effect.
     """
-    spark = docs.sparkSession
-    counts = count_ngrams(train.select(F.col(text)))
-    held, totals = build_filter(counts, max_bytes=max_bytes)
-    tokens, distinct = totals["tokens"], totals["distinct"]
-    level = 1
-    while int(totals["levels"][level:].sum()) > max_head and level < LEVELS:
-        level += 1
-    least = 1 << (level - 1)
-    table = token_rows(counts, least).toArrow()  # at most max_head rows
-    order = np.argsort(table.column("hash").to_numpy().view(np.uint64))
-    head = spark.sparkContext.broadcast((table.column("hash").to_numpy().view(np.uint64)[order], table.column("count").to_numpy()[order]))
-    model = spark.sparkContext.broadcast(held)
+    own = [F.col(id_column).alias("id"), F.col(flag).alias("flag"), F.col(text).alias("text")]
+    if isinstance(train, Column):
+        rows = docs.select(*own, F.coalesce(train, F.lit(False)).alias("learn"), F.lit(True).alias("ask"))
+    else:
+        none = [F.lit(None).cast(docs.schema[c].dataType).alias(n) for c, n in ((id_column, "id"), (flag, "flag"))]
+        rows = docs.select(*own, F.lit(False).alias("learn"), F.lit(True).alias("ask")).unionAll(train.select(*none, F.col(text).alias("text"), F.lit(True).alias("learn"), F.lit(False).alias("ask")))
+    blocks = pack_blocks(rows)
+    replies = answers(blocks)
+    sums = {r["order"]: r for r in replies.groupBy(F.floor(F.col("key") / PREFIXES).alias("order")).agg(*[F.sum(c).alias(c) for c in ("total", "distinct", "once")]).collect()}
+    tokens, distinct = (sums[1]["total"], sums[1]["distinct"]) if 1 in sums else (0, 0)
     norm = math.log10(tokens + distinct + 1)
-    weight = 1 - totals["once"] / tokens if tokens else 0.0
+    weight = 1 - sums[2]["once"] / tokens if tokens else 0.0
     schema = T.StructType([
-        T.StructField("uid", T.LongType()), docs.schema[id_column], docs.schema[flag], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
-        T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType())),
+        T.StructField("id", docs.schema[id_column].dataType), T.StructField("flag", docs.schema[flag].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
+        T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()),
     ])
 
-    def per_batch(batches):
-        from pyspark import TaskContext
-
-        uid = TaskContext.get().partitionId() << 40
-        hashes = TokenHashes()
-        (known, known_counts), lm = head.value, model.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                n = batch.num_rows
-                flat, sizes = token_arrays([b or b"" for b in batch.column(2).cast(pa.binary()).to_pylist()], hashes)
-                starts = np.cumsum(sizes) - sizes
-                distinct_tokens, at = np.unique(flat, return_inverse=True)
-                where = np.minimum(np.searchsorted(known, distinct_tokens), max(len(known) - 1, 0))
-                own = known[where] == distinct_tokens if len(known) else np.zeros(len(distinct_tokens), bool)
-                c = np.where(own, known_counts[where] if len(known) else 0, 0)
-                base = np.add.reduceat(np.log10(c + 1.0)[at], starts) - sizes * norm
-                n_known = np.add.reduceat(own[at].astype(np.int64), starts)
-                # the model: quantised counts from the filter only
-                single = middle(lm.levels(distinct_tokens, 1))
-                p1 = ((single + 1) / (tokens + distinct + 1))[at]
-                pair = middle(lm.levels(bigrams(flat), 2))
-                before = np.concatenate([single[at[starts[0] + sizes[0] - 1 : starts[0] + sizes[0]]], single[at[:-1]]])
-                ratio = np.minimum(1.0, pair / np.maximum(before, 1.0))
-                p = np.where(before > 0, weight * ratio + (1 - weight) * p1, p1)
-                scores = np.add.reduceat(np.log10(p), starts)
-                rare = flat[~own[at]].view(np.int64)
-                ends = np.cumsum(sizes - n_known)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(rare))
-                yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(n)), batch.column(0), batch.column(1), pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(scores), lists], names=schema.names)
-                uid += n
-
-    scored = stage(docs.select(F.col(id_column), F.col(flag), F.col(text)).mapInArrow(per_batch, schema), "lm-scores")
-    if least > 1:
-        rare = scored.select("uid", F.explode("rare").alias("hash"))
-        found = rare.join(token_rows(counts, 1, least), "hash")
-        extra = found.groupBy("uid").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("count") + 1.0)).alias("gain"))
-        scored = scored.join(extra, "uid", "left")
-    else:
-        scored = scored.withColumn("more", F.lit(0)).withColumn("gain", F.lit(0.0))
-    return scored.select(
-        id_column, flag, "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("bigint").alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score",
-    )
+    def per_block(batches):
+        hashes = TokenHashes(200_000)
+
+        def scored(body: bytes, replies: dict[int, list[tuple[bytes, bytes]]]):
+            texts = pa.ipc.open_stream(body).read_all()
+            flat, sizes = token_arrays([b or b"" for b in texts.column(2).cast(pa.binary()).to_pylist()], hashes)
+            starts = np.cumsum(sizes) - sizes
+            at = np.unique(shorten(flat, 1), return_inverse=True)[1]
+            c = np.frombuffer(b"".join(a for a, _ in replies[1]), "<i8")
+            base = np.add.reduceat(np.log10(c + 1.0)[at], starts) - sizes * norm
+            n_known = np.add.reduceat((c > 0).astype(np.int64)[at], starts)
+            # the model: quantised counts from the filter only
+            single = middle(np.frombuffer(b"".join(b for _, b in replies[1]), np.uint8))
+            p1 = ((single + 1) / (tokens + distinct + 1))[at]
+            pairs = np.unique(shorten(bigrams(flat), 2), return_inverse=True)[1]
+            pair = middle(np.frombuffer(b"".join(b for _, b in replies[2]), np.uint8))[pairs]
+            before = np.concatenate([single[at[sizes[0] - 1 : sizes[0]]], single[at[:-1]]])
+            ratio = np.minimum(1.0, pair / np.maximum(before, 1.0))
+            p = np.where(before > 0, weight * ratio + (1 - weight) * p1, p1)
+            scores = np.add.reduceat(np.log10(p), starts)
+            table = pa.table([texts.column(0), texts.column(1), pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(scores)], names=schema.names)
+            return table.combine_chunks().to_batches()
+
+        body, replies = None, {}
+        for batch in batches:
+            for _, key, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key < 0:  # a block's texts come before its answers
+                    if body is not None:
+                        yield from scored(body, replies)
+                    body, replies = a, {1: [], 2: []}
+                else:
+                    replies[key // PREFIXES].append((a or b"", b))
+        if body is not None:
+            yield from scored(body, replies)
+
+    asked = replies.filter("block is not null").select("block", "key", F.col("counts").alias("a"), F.col("levels").alias("b"))
+    bodies = blocks.select("block", F.lit(-1).alias("key"), F.col("body").alias("a"), F.lit(None).cast("binary").alias("b"))
+    asking = bodies if isinstance(train, Column) else bodies.join(asked.select("block").distinct(), "block", "left_semi")
+    whole = asking.unionAll(asked).repartition("block").sortWithinPartitions("block", "key")
+    out = whole.mapInArrow(per_block, schema)
+    return out.select(F.col("id").alias(id_column), F.col("flag").alias(flag), "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -58,7 +58,7 @@ def op7_pfor_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", (crc_mod("doc_id", 7) == 2).alias("held_out"))
-    return bloomlm.score(docs, docs.filter(~F.col("held_out")), flag="held_out")
+    return bloomlm.score(docs, ~F.col("held_out"), flag="held_out")
 
 
 def op9_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
