@@ -58,8 +58,9 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\w])(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?(?!\p{{L}})",
 }
 ANY = "|".join(PATTERNS.values())
-#: What every entity holds; texts without it are passed over at once.
-HINT = rf"[0-9]{{2}}|@|[=:][ ]{{0,2}}[\"']?[A-Za-z0-9]|(?:{_TITLE})\.? "
+#: What every entity, or the place before it, holds; texts without it are passed over at once.  In this order: numbers;
+#: octets of one digit; e-mail addresses; secrets after a name, in hex without adjacent digits, and by their start; names.
+HINT = rf"[0-9]{{2}}|[0-9]\.[0-9]|@|[=:][ ]{{0,2}}[\"']?[A-Za-z0-9+/_\-]|[0-9a-f]{{32}}|AKIA|ASIA|(?:{_TITLE})\.? "
 ROUNDS = 6
 HEX = "0123456789abcdef"
 
