@@ -87,6 +87,20 @@ def test_tensors_are_fixed_shape_with_spans():
     assert all(a < b for a, b in zip(table["start_us"].to_pylist(), table["end_us"].to_pylist(), strict=True))
 
 
+def test_features_cover_every_byte():
+    spec = audio.AudioSpec()
+    for n in [1, 2, 64, 128, 192, 255, 256, 257, 448, 511, 512, 513, *range(576, 1600, 64), 4096, 50_000]:
+        body = random.Random(n).randbytes(n)
+        frames, loud, made = audio.features(body, spec)
+        assert frames == max(1, -(-n // 256))
+        for at in {0, n // 2, max(n - 186, 0), max(n - 64, 0), max(n - 2, 0), n - 1}:
+            other = body[:at] + bytes([body[at] ^ 1]) + body[at + 1 :]
+            assert audio.features(other, spec)[2] != made, (n, at)
+        ends = pa.ipc.open_stream(made).read_all()["end_us"].to_pylist() + [s["end_us"] for s in loud]
+        assert max(ends) <= -(-n // 2) * 1_000_000 / spec.new_rate
+    assert audio.features(b"", spec)[0] == 0
+
+
 def test_audio_query(spark, docs, empty):
     payload = lambda d: d.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
     out = rows_of(audio.store_and_describe(payload(docs)))

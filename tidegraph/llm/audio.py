@@ -5,8 +5,9 @@ files back and gives, for each, the payload, fixed-shape log-mel tensors with th
 whose tensor column has the fixed-shape tensor type) and the spans of its loud segments.
 
 Everything is computed for one file at a time in blocks of fixed size from its start, so equal files give equal
-bytes.  Defined results: a null payload is an empty file with no frames; files shorter than one frame have none;
-repeated rows give repeated results; an empty table gives an empty result.
+bytes.  A frame begins at every hop within the file, the last ones filled up with zeros, so every sample counts.
+Defined results: a null payload is an empty file with no frames; repeated rows give repeated results; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -109,13 +110,14 @@ def mel_bank(mels: int, frame: int, rate: float) -> np.ndarray:
 
 
 def log_mel(y: np.ndarray, spec: AudioSpec) -> tuple[np.ndarray, np.ndarray]:
-    """(frames x mels log energies, frame energies in dB)."""
-    n = 1 + (len(y) - spec.frame) // spec.hop if len(y) >= spec.frame else 0
+    """(frames x mels log energies, frame energies in dB); zeros follow the end, so that the last frame begins within ``y``."""
+    n = -(-len(y) // spec.hop)
     mel, energy = np.empty((n, spec.mels), np.float32), np.empty(n, np.float32)
     if not n:
         return mel, energy
+    y = np.concatenate([y, np.zeros(max(0, (n - 1) * spec.hop + spec.frame - len(y)), np.float32)])
     windows = sliding_window_view(y, spec.frame)[:: spec.hop]
-    hann = np.hanning(spec.frame).astype(np.float32)
+    hann = np.hanning(spec.frame + 2)[1:-1].astype(np.float32)  # without the zeros at its ends
     for at in range(0, n, spec.block):
         f = windows[at : at + spec.block] * hann
         spectrum = np.fft.rfft(f)
@@ -137,8 +139,11 @@ def segments(energy: np.ndarray, spec: AudioSpec) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1)
 
 
-def tensors(mel: np.ndarray, spec: AudioSpec) -> bytes:
-    """An Arrow IPC stream: start_us, end_us, log_mel (fixed-shape tensor ``patch`` x ``mels``; the last is padded with its least value)."""
+def tensors(mel: np.ndarray, length: int, spec: AudioSpec) -> bytes:
+    """An Arrow IPC stream: start_us, end_us, log_mel (fixed-shape tensor ``patch`` x ``mels``; the last is padded with its least value).
+
+    Spans end with the ``length`` samples at the latest.
+    """
     n = len(mel)
     count = -(-n // spec.patch)
     grid = np.full((count * spec.patch, spec.mels), mel.min() if n else 0, np.float32)
@@ -148,7 +153,7 @@ def tensors(mel: np.ndarray, spec: AudioSpec) -> bytes:
     first = np.arange(count, dtype=np.int64) * spec.patch
     last = np.minimum(first + spec.patch, n) - 1
     us = lambda s: (s * 1_000_000 / spec.new_rate).astype(np.int64)
-    batch = pa.RecordBatch.from_arrays([pa.array(us(first * spec.hop)), pa.array(us(last * spec.hop + spec.frame)), pa.ExtensionArray.from_storage(kind, body)], names=["start_us", "end_us", "log_mel"])
+    batch = pa.RecordBatch.from_arrays([pa.array(us(first * spec.hop)), pa.array(us(np.minimum(last * spec.hop + spec.frame, length))), pa.ExtensionArray.from_storage(kind, body)], names=["start_us", "end_us", "log_mel"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
@@ -158,11 +163,12 @@ def tensors(mel: np.ndarray, spec: AudioSpec) -> bytes:
 def features(payload: bytes, spec: AudioSpec) -> tuple[int, list[dict], bytes]:
     """(frames, loud segments in microseconds, tensors) of 8-bit samples."""
     x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-    mel, energy = log_mel(resample(x, spec), spec)
+    y = resample(x, spec)
+    mel, energy = log_mel(y, spec)
     spans = segments(energy, spec)
     us = 1_000_000 / spec.new_rate
-    loud = [{"start_us": int(a * spec.hop * us), "end_us": int(((b - 1) * spec.hop + spec.frame) * us)} for a, b in spans.tolist()]
-    return len(mel), loud, tensors(mel, spec)
+    loud = [{"start_us": int(a * spec.hop * us), "end_us": int(min((b - 1) * spec.hop + spec.frame, len(y)) * us)} for a, b in spans.tolist()]
+    return len(mel), loud, tensors(mel, len(y), spec)
 
 
 def store_and_describe(rows: DataFrame, *, payload: str = "payload", spec: AudioSpec | None = None, bytes_per_batch: int = 8 << 20) -> DataFrame:
