@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -13,15 +14,27 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+@functools.cache
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tidegraph-')}"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; set here only where the session has none."""
+    """The folder all executors share: spark.checkpoint.dir; in local mode, where one machine is all, a folder of this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tidegraph-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.conf.get("spark.master", "").startswith("local") or "cluster" in spark.conf.get("spark.master"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _own_folder()
     return folder.rstrip("/")
 
 
+def no_clash(given, made) -> None:
+    """Raise ValueError where a caller's column is named, in any case, like a column that an operator makes."""
+    if clash := {c.lower() for c in given} & {c.lower() for c in made}:
+        raise ValueError(f"columns clash with those of the operator: {sorted(clash)}")
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -6,15 +6,18 @@
    first, each into the pack with the most room, in groups: a group is a packing pattern with a count.
 3. The patterns (at most two groups for each length) go to all executors; a piece finds its pattern, sequence and
    offset by its rank among the pieces of its length, by a binary search.
+4. Sequences are numbered in a scattered order, so that those of one pattern don't follow one another.
 
 Defined results: null text is the empty text, one end id long; a document of no ids (without end id) has no piece;
 rows that share an id are documents of their own; an empty table has no sequences; texts longer than a sequence
-fill whole sequences first.
+fill whole sequences first, whatever their length; pieces of equal length are ranked by task and order in it; an id
+column named like an output column raises ValueError, other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 
 import numpy as np
@@ -23,8 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.llm.common import stage
-from tidegraph.llm.tokens import END_ID, end_bytes, piece_ids, texts_of, vocabulary_path
+from tidegraph.llm.common import no_clash, stage
+from tidegraph.llm.tokens import END_ID, encoder, vocabulary_path
 
 CAPACITY = 4096
 
@@ -39,25 +42,33 @@ def cut_documents(docs: DataFrame, *, id_column: str = "doc_id", text: str = "te
     def cut(batches):
         from pyspark import TaskContext
 
-        part, end, pieces = TaskContext.get().partitionId(), end_bytes(end_id), piece_ids(path)
+        part, encode = TaskContext.get().partitionId(), encoder(path)
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far
         for batch in batches:
-            rows: list[tuple] = []
-            for at, t in enumerate(texts_of(batch.column(1))):
-                ids = memoryview(pieces.encode(t, end))
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    length = min(capacity, n - start)
-                    rows.append((at, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, seen[length]))
-                    seen[length] += 1
-            if rows:
-                at, *rest, nth = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-                columns = [batch.column(0).take(pa.array(at)), *map(pa.array, rest), pa.array(np.full(len(at), part)), pa.array(nth)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            for row, ids, sizes in encode(batch.column(1), end_id):
+                pieces = -(-sizes // capacity)
+                doc = np.repeat(np.arange(len(sizes)), pieces)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+                length = np.minimum(capacity, sizes[doc] - start)
+                first = 4 * ((np.cumsum(sizes) - sizes)[doc] + start)
+                view = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(view[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
+                columns = [start, length, np.array(crc, np.int64), sizes[doc], np.full(len(doc), part), nth_of_kind(length, seen)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + doc)), *[pa.array(c.astype(np.int64)) for c in columns]], names=names)
 
     return stage(docs.select(F.col(id_column), F.col(text)).mapInArrow(cut, schema), "pieces")
 
 
+def nth_of_kind(kinds: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """For each item, how many of its kind came before it; ``seen`` holds the counts so far and is carried on."""
+    order = np.argsort(kinds, kind="stable")
+    new, first, count = np.unique(kinds[order], return_index=True, return_counts=True)
+    out = np.empty(len(kinds), np.int64)
+    out[order] = np.arange(len(kinds)) - np.repeat(first, count) + np.repeat(seen[new], count)
+    seen[new] += count
+    return out
+
+
 def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
     """Patterns and their counts: a pattern is a list of (length, how many)."""
     packs: list[tuple[int, int, tuple | None, int]] = []  # (-room, serial, chain of lengths, count)
@@ -92,7 +103,15 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) ->
     return out
 
 
-def place(patterns: list[tuple[list[tuple[int, int]], int]], capacity: int = CAPACITY) -> dict[str, np.ndarray]:
+def scatter(n: int) -> int:
+    """A factor without a common divisor with ``n``, near 0.618 n: i -> i * factor mod n scatters neighbours."""
+    factor = max(1, int(min(n, 1 << 29) * 0.618))
+    while math.gcd(factor, n) > 1:
+        factor += 1
+    return factor
+
+
+def place(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.ndarray]:
     """For each run of ranks of a length: where its pieces go.  Sorted by (length, first rank)."""
     rows, next_rank, sequence = [], {}, 0
     for pattern, count in patterns:
@@ -111,10 +130,14 @@ def place(patterns: list[tuple[list[tuple[int, int]], int]], capacity: int = CAP
 
 def pack(docs: DataFrame, *, id_column: str = "doc_id", capacity: int = CAPACITY, **options) -> DataFrame:
     """A row for each piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
+    no_clash([id_column], ["start", "length", "ids_crc32", "doc_tokens", "part", "nth", "sequence_id", "offset"])
     pieces = cut_documents(docs, id_column=id_column, capacity=capacity, **options)
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    table = pieces.sparkSession.sparkContext.broadcast(place(shortest_pack_first(histogram, capacity), capacity))
+    patterns = shortest_pack_first(histogram, capacity)
+    sequences = max(1, sum(count for _, count in patterns))
+    factor = scatter(sequences)
+    table = pieces.sparkSession.sparkContext.broadcast(place(patterns))
     first = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
     ranked = pieces.join(first, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
     names = [id_column, "start", "length", "ids_crc32", "doc_tokens"]
@@ -127,7 +150,7 @@ def pack(docs: DataFrame, *, id_column: str = "doc_id", capacity: int = CAPACITY
         for batch in batches:
             length, rank = batch.column(2).to_numpy(), batch.column(5).to_numpy()
             at = np.searchsorted(keys, length * shift + rank, side="right") - 1
-            where = runs["first"][at] + rank - runs["rank"][at]
+            where = (runs["first"][at] + rank - runs["rank"][at]) * factor % sequences
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(where), pa.array(runs["offset"][at])], names=schema.names)
 
     return ranked.select(*names, "rank").mapInArrow(assign, schema)

@@ -12,7 +12,8 @@ their low bits in place and stand whole in the exception list.  Segments are bin
 the shared folder, written and read by Spark, so that any store will do and a lost task is simply run again.
 
 Defined results: null text is the empty text, which still holds its end id; null keys sort first; rows that share a
-key follow one another; an empty table has no segments; very long texts make one segment of their own.
+key follow one another, equal texts or not; an empty table has no segments; very long texts make segments
+longer than the others; an id column named like an output column raises ValueError, other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.llm.common import stage
-from tidegraph.llm.tokens import END_ID, end_bytes, piece_ids, vocabulary_path
+from tidegraph.llm.common import no_clash, stage
+from tidegraph.llm.tokens import END_ID, encoder, vocabulary_path
 
 BLOCK = 128
 HEAD = struct.Struct("<4sHHIIQ")
@@ -123,38 +124,41 @@ def write_segments(docs: DataFrame, *, id_column: str = "doc_id", text: str = "t
     ranged = docs.select(F.col(id_column).alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key")
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seg", T.IntegerType()), T.StructField("n_ids", T.LongType()), T.StructField("keys", T.ArrayType(key)), T.StructField("segment", T.BinaryType())])
 
-    def encode(batches):
+    def write(batches):
         from pyspark import TaskContext
 
-        part, seg, end, pieces = TaskContext.get().partitionId(), 0, end_bytes(end_id), piece_ids(path)
-        keys: list = []
-        held: list[bytes] = []
+        part, seg, encode = TaskContext.get().partitionId(), 0, encoder(path)
+        held: list[tuple] = []  # (keys, ids, ids of each document) of the segment under way
         size = 0
 
         def flush():
-            lengths = np.array([len(x) // 4 for x in held], np.uint32)
-            body = pack(np.frombuffer(b"".join(held), "<u4"), lengths)
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), pa.array([keys], pa.list_(arrow_key)), pa.array([body], pa.binary())], names=schema.names)
-            return row
+            keys, ids, sizes = (list(x) for x in zip(*held, strict=True))
+            keys, sizes = pa.concat_arrays(keys), np.concatenate(sizes)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+            body = pack(np.concatenate(ids), sizes.astype(np.uint32))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([int(sizes.sum())], pa.int64()), listed, pa.array([body], pa.binary())], names=schema.names)
 
         for batch in batches:
-            arrow_key = batch.column(0).type
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = pieces.encode(t or "", end)
-                keys.append(k)
-                held.append(ids)
-                size += len(ids) // 4
-                if size >= ids_per_segment:
-                    yield flush()
-                    keys, held, size, seg = [], [], 0, seg + 1
+            for row, ids, sizes in encode(batch.column(1), end_id):
+                ends, doc = np.cumsum(sizes), 0
+                while doc < len(sizes):
+                    done = int(ends[doc - 1]) if doc else 0
+                    stop = min(len(sizes), int(np.searchsorted(ends, done + ids_per_segment - size)) + 1)
+                    held.append((batch.column(0).slice(row + doc, stop - doc), ids[done : ends[stop - 1]], sizes[doc:stop]))
+                    size += int(ends[stop - 1]) - done
+                    doc = stop
+                    if size >= ids_per_segment:
+                        yield flush()
+                        held, size, seg = [], 0, seg + 1
         if held:
             yield flush()
 
-    return stage(ranged.mapInArrow(encode, schema), "pfor-segments")
+    return stage(ranged.mapInArrow(write, schema), "pfor-segments")
 
 
 def read_documents(segments: DataFrame, *, id_column: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, from the stored segments."""
+    no_clash([id_column], ["part", "seg", "local", "base", "start", "n_tokens", "ids_crc32"])
     key = segments.schema["keys"].dataType.elementType
     index = segments.select("part", "seg", "n_ids")
     parts = index.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n"))

@@ -1,21 +1,38 @@
-"""Token ids of whole texts by the tokenizers library, one call for each distinct word.
+"""Token ids of whole texts by the tokenizers library, one call for each distinct part of a word.
 
-The vocabulary in use (lower case, words by a split pattern, byte-level merges with word ends) drops white space
-before its merges, so the ids of a text are those of its pieces between ASCII spaces, tabs and line ends, one after
-the other; a piece is encoded once and kept.
+The vocabulary in use (lower case, parts by a split pattern, byte-level merges with word ends) drops white space
+before its merges, so the ids of a text are those of its words between ASCII white space, one after the other.  A
+batch's words are dictionary-encoded; each distinct word is split into the pattern's parts, each new part goes to the
+library's merges, and the batch's ids are gathered from the words' by NumPy.
+
+This holds for vocabularies whose normalizer and pre-tokenizer are those of :data:`CHAIN`; any other goes through the
+library's whole chain, text by text.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from array import array
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed value: the id that ends each document.
 END_ID = 2
 
+#: The normalizer and the pre-tokenizer that the shortcut stands for.
+CHAIN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+}
+
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -30,86 +47,143 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-#: Pieces of characters below this are split here; the others go through the whole tokenizer.
+#: Words of characters below this are split here; the others go through the whole tokenizer.
 _PLAIN_END = 0x180
+_TAILS = ".,;:!?"
+
 
+def _class_of(kind: str) -> str:
+    """The body of a character class: the characters below ``_PLAIN_END`` of a Unicode category."""
+    return "".join(re.escape(chr(c)) for c in range(_PLAIN_END) if unicodedata.category(chr(c))[0] == kind)
 
-def _plain_splitter() -> re.Pattern:
-    """The vocabulary's own split pattern, its classes written out for the characters below ``_PLAIN_END``."""
-    of = lambda kind: "".join(re.escape(chr(c)) for c in range(_PLAIN_END) if unicodedata.category(chr(c))[0] == kind)
-    letters, numbers = of("L"), of("N")
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}]+")
 
+def gather(pool: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries ``at`` of ``pool``, which holds entries of ``sizes`` one after the other: (values, ends of the entries)."""
+    lengths = sizes[at]
+    ends = np.cumsum(lengths)
+    first = (np.cumsum(sizes) - sizes)[at] - (ends - lengths)
+    return pool[np.repeat(first, lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
 
-class PieceIds(dict):
-    """Piece of text to its ids as little-endian unsigned 32-bit integers.
 
-    Keeps between ``limit`` and twice as many pieces: when full, the pieces so far become the old generation, from
-    which those still in use come back.  Pieces of Latin letters and marks are lower-cased and split here and go
-    to the library's merges directly; all others go through the library's whole chain.
+class Generations(dict):
+    """Keys to values, made by ``make``; keeps between ``limit`` and twice as many.
+
+    When full, what is held becomes the old generation, from which entries still in use come back.
     """
 
-    def __init__(self, path: str, limit: int = 300_000, longest: int = 64):
+    def __init__(self, make, limit: int, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class Encoder:
+    """Texts to ids; parts once met are kept, as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, path: str, limit: int = 500_000, bytes_at_once: int = 16 << 20):
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
-        self.tokenizer, self.limit, self.longest, self.old = Tokenizer.from_file(path), limit, longest, {}
-        self.merges, self.splitter = self.tokenizer.model, _plain_splitter()
-        self.alphabet = _byte_alphabet()
+        self.tokenizer, self.bytes_at_once = Tokenizer.from_file(path), bytes_at_once
+        chain = json.loads(self.tokenizer.to_str())
+        model = chain["model"]
+        # special tokens are found before the normalizer; the shortcut knows only those that begin with "<|"
+        self.shortcut = all(chain.get(k) == v for k, v in CHAIN.items()) and model["type"] == "BPE" and not model.get("dropout") and all(t["content"].startswith("<|") for t in chain["added_tokens"])
+        self.merges, self.alphabet = self.tokenizer.model, _byte_alphabet()
+        letters, numbers = _class_of("L"), _class_of("N")
+        self.splitter = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}]+")
         # white space beyond ASCII and characters whose lower case is longer are left to the library
-        self.odd = re.compile(f"[^\x21-\x84\x86-\x9f\xa1-{chr(_PLAIN_END - 1)}]|[\u0130\u0149]|<\\|")
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            if self.odd.search(piece):
-                ids = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-            else:
-                ids = self.plain(piece)
-        if len(piece) <= self.longest:
-            self.keep(piece, ids)
-        return ids
-
-    def keep(self, piece: str, ids: bytes) -> None:
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-            self[""] = b""
-        self[piece] = ids
-
-    def plain(self, piece: str) -> bytes:
-        out = []
-        for part in self.splitter.findall(piece.lower()):
-            key = "\n" + part  # no piece holds a line end, so parts have keys of their own
-            ids = self.get(key) or self.old.get(key)
-            if ids is None:
-                word = part if part.isascii() and part.isalnum() else "".join([self.alphabet[b] for b in part.encode()])
-                ids = array("I", [t.id for t in self.merges.tokenize(word)]).tobytes()
-                if len(part) <= self.longest:
-                    self.keep(key, ids)
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str, end: bytes) -> bytes:
-        pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join([self[p] for p in pieces]) + end
-
-
-_READY: dict[str, PieceIds] = {}
-
-
-def piece_ids(path: str) -> PieceIds:
-    """This worker's pieces for a vocabulary; kept from task to task."""
+        self.odd = re.compile(f"[^\x21-\x84\x86-\x9f\xa1-{chr(_PLAIN_END - 1)}]|[İŉ]|<\\|")
+        # most words: letters and at most one mark after them
+        self.simple = f"^[{letters.replace('İ', '').replace('ŉ', '')}]+[{_TAILS}]?$"
+        self.parts = Generations(self.part, limit)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def part(self, part: str) -> bytes:
+        word = part if part.isascii() and part.isalnum() else "".join([self.alphabet[b] for b in part.encode()])
+        return array("I", [t.id for t in self.merges.tokenize(word)]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        if self.odd.search(word):
+            return self.whole(word)
+        return b"".join([self.parts[p] for p in self.splitter.findall(word.lower())])
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids of each word)."""
+        simple = pc.match_substring_regex(words, self.simple)
+        low = pc.utf8_lower(words.filter(simple))
+        stems = pc.utf8_rtrim(low, _TAILS)
+        tailed = pc.binary_length(low).to_numpy() > pc.binary_length(stems).to_numpy()
+        tails = low.filter(pa.array(tailed))
+        last = np.frombuffer(tails.buffers()[2] or b"", np.uint8)[np.frombuffer(tails.buffers()[1], np.int32)[tails.offset + 1 : tails.offset + len(tails) + 1] - 1] if len(tails) else np.empty(0, np.uint8)
+        stems = stems.dictionary_encode()
+        parts = self.parts
+        bodies = [b"", *[parts[x] for x in _TAILS], *[parts[x] for x in stems.dictionary.to_pylist()]]
+        # each word is two entries: its stem and its mark, or its whole and nothing
+        at = np.zeros((len(words), 2), np.int64)
+        own = simple.to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(own)
+        at[rows, 0] = stems.indices.to_numpy() + 1 + len(_TAILS)
+        of_tail = np.zeros(128, np.int64)
+        of_tail[list(_TAILS.encode())] = np.arange(1, len(_TAILS) + 1)
+        at[rows[tailed], 1] = of_tail[last]
+        at[~own, 0] = np.arange(len(bodies), len(bodies) + len(words) - len(rows))
+        bodies += [self.word(w) for w in words.filter(pc.invert(simple)).to_pylist()]
+        ids, ends = gather(np.frombuffer(b"".join(bodies), np.uint32), np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4, at.reshape(-1))
+        return ids, np.diff(ends[1::2], prepend=0)
+
+    def encode(self, texts: pa.Array, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with ``end`` after it; ids of each text)."""
+        if not self.shortcut:
+            found = [np.concatenate([np.frombuffer(self.whole(t), np.uint32), end]) for t in texts.to_pylist()]
+            return np.concatenate([end[:0], *found]), np.array([len(x) for x in found], np.int64)
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        pool, sizes = self.words(words.dictionary)
+        # every text is its words and one entry more, the end
+        stops = np.cumsum(np.diff(lists.offsets.to_numpy()).astype(np.int64) + 1)
+        at = np.full(len(words) + len(texts), len(sizes), np.int64)
+        own = np.ones(len(at), bool)
+        own[stops - 1] = False
+        at[own] = words.indices.to_numpy()
+        ids, ends = gather(np.concatenate([pool, end]), np.append(sizes, len(end)), at)
+        return ids, np.diff(ends[stops - 1], prepend=0)
+
+    def __call__(self, texts: pa.Array, end_id: int | None = END_ID):
+        """(first row, ids of all its texts, ids of each text) for one slice of rows after the other; null is the empty text."""
+        end = np.array([] if end_id is None else [end_id], np.uint32)
+        for start, stop in slices(texts, self.bytes_at_once):
+            yield start, *self.encode(pc.fill_null(texts.slice(start, stop - start), ""), end)
+
+
+def slices(texts: pa.Array, bytes_at_once: int):
+    """(first row, row after the last) of runs of rows that hold about ``bytes_at_once``, or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + bytes_at_once, side="right")))
+        yield start, stop
+        start = stop
+
+
+_READY: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder for a vocabulary; kept from task to task."""
     if path not in _READY:
         _READY.clear()
-        _READY[path] = PieceIds(path)
+        _READY[path] = Encoder(path)
     return _READY[path]
-
-
-def end_bytes(end_id: int | None) -> bytes:
-    return b"" if end_id is None else array("I", [end_id]).tobytes()
-
-
-def texts_of(column: pa.Array) -> list[str]:
-    """A text for each row; null counts as empty."""
-    return [t or "" for t in column.to_pylist()]
