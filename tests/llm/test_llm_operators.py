@@ -246,15 +246,37 @@ def tokenizer():
     return Tokenizer.from_file(tokens.vocabulary_path())
 
 
-def test_piece_ids_equal_the_library(tokenizer):
-    pieces = tokens.PieceIds(tokens.vocabulary_path(), limit=500)
+def odd_texts():
     r = random.Random(5)
-    alphabet = [chr(c) for c in range(1, 0x250)] + list("'stredmlv'ΣσςİıﬁＡ中文字١²½é ́​ \u0085 \t\n")
+    alphabet = [chr(c) for c in range(1, 0x250)] + list("'stredmlv'ΣσςİıﬁＡ中文字١²½é ́​ \u0085 \t\n")
+    out = [None, "", " ", "\n\t", "It's  I'LL don't", "ª ª. aº", "ñ! ß, e. 9. a1. ẞ."]
     for _ in range(3000):
         text = "".join(r.choices(alphabet, k=r.randint(0, 14)))
-        if r.random() < 0.1:
-            text = "<|endoftext|>" + text + "<|startoftext|>"
-        assert list(np.frombuffer(pieces.encode(text, b""), "<u4")) == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+        out.append("<|endoftext|>" + text + "<|startoftext|>" if r.random() < 0.1 else text)
+    return out
+
+
+def test_ids_equal_the_library(tokenizer):
+    encode = tokens.Encoder(tokens.vocabulary_path(), limit=500, bytes_at_once=4000)
+    assert encode.shortcut
+    texts = odd_texts()
+    found = []
+    for row, ids, sizes in encode(pa.array(texts, pa.string()).slice(0), 2):
+        assert row == len(found)
+        found += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert found == [token_ids(t, tokenizer) for t in texts]
+    part = pa.array(texts, pa.string()).slice(700, 90)
+    assert np.concatenate([x for _, x, _ in encode(part, None)]).tolist() == [i for t in texts[700:790] for i in token_ids(t, tokenizer)[:-1]]
+
+
+def test_other_vocabularies_go_through_the_library():
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    encode, library, texts = tokens.Encoder(path), Tokenizer.from_file(path), odd_texts()[:300]
+    assert not encode.shortcut
+    ((_, ids, sizes),) = encode(pa.array(texts, pa.string()), 2)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [token_ids(t, library) for t in texts]
 
 
 def test_packing_invariants(spark, docs, empty, tokenizer):
@@ -294,7 +316,7 @@ def test_shortest_pack_first_places_all():
             for n, k in pattern:
                 placed[n] += k * count
         assert placed == Counter(histogram)
-        table = packing.place(patterns, capacity)
+        table = packing.place(patterns)
         assert (np.diff(table["length"] * (1 << 48) + table["rank"]) > 0).all()
     assert packing.shortest_pack_first({}, 10) == []
     # the emptiest pack is filled first
@@ -417,12 +439,11 @@ def brute_unigrams(texts, train):
     return [(len(t), sum(counts[w] > 0 for w in t), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t)) for t in ends]
 
 
-@pytest.mark.parametrize("head", [500_000, 20])
-def test_language_model_base(spark, docs, head):
+def test_language_model_base(spark, docs):
     flagged = docs.select("doc_id", "text", (F.coalesce(F.col("doc_id"), F.lit(0)) % 5 == 2).alias("held"))
     rows = rows_of(flagged)
     want = brute_unigrams([r["text"] for r in rows], [not r["held"] for r in rows])
-    got = rows_of(bloomlm.score(flagged, flagged.filter("not held"), flag="held", max_head=head))
+    got = rows_of(bloomlm.score(flagged, flagged.filter("not held"), flag="held"))
     key = lambda x: tuple(round(float(v), 6) for v in x)
     assert sorted(key((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"])) for r in got) == sorted(map(key, want))
     assert all(r["score"] < 0 for r in got)
@@ -430,27 +451,60 @@ def test_language_model_base(spark, docs, head):
     assert np.mean(seen) > 0
 
 
-def test_model_score_keeps_rare_ngrams(spark, docs):
+class BruteModel:
+    """The model of bloomlm's text, with exact dictionaries for the filter."""
+
+    def __init__(self, texts):
+        self.one = Counter(w for t in texts for w in t)
+        self.two = Counter(p for t in texts for p in zip([None, *t], t, strict=False))
+        self.total = sum(map(self.floor, self.one.values())) + len(self.one) + 1
+        self.prior = len(self.two) / len(self.one)
+
+    @staticmethod
+    def floor(c):
+        return max([k for k in [0, 1, 2, 3] + [m << e for e in range(60) for m in (2, 3)] if k <= c])
+
+    def p(self, before, word):
+        p1 = (self.floor(self.one[word]) + 1) / self.total
+        return (self.floor(self.two[before, word]) + self.prior * p1) / (self.one[before] + self.prior)
+
+    def lost(self, before):
+        """What rounding takes from the sum over all words."""
+        return sum(c - self.floor(c) for (a, _), c in self.two.items() if a == before) / (self.one[before] + self.prior)
+
+
+def lm_tokens(text):
+    return [w.lower() for w in (text or "").encode().split()] + [None]
+
+
+def test_model_score_against_brute_force(spark, docs):
     flagged = docs.select("doc_id", "text", (F.coalesce(F.col("doc_id"), F.lit(0)) % 5 == 2).alias("held"))
     rows = rows_of(flagged)
-    texts = [[w.lower() for w in (r["text"] or "").encode().split()] + [None] for r in rows]
-    pairs = [list(zip([None, *t], t, strict=False)) for t in texts]
-    one = Counter(w for t, r in zip(texts, rows, strict=True) if not r["held"] for w in t)
-    two = Counter(p for t, r in zip(pairs, rows, strict=True) if not r["held"] for p in t)
-    n, v = sum(one.values()), len(one)
-    weight = 1 - sum(c == 1 for c in two.values()) / n
-    mid = lambda c: c if c < 2 else 2 ** (c.bit_length() - 0.5)
-
-    def log_p(a, b):
-        p1 = (mid(one[b]) + 1) / (n + v + 1)
-        return math.log10(weight * min(1.0, mid(two[a, b]) / mid(one[a])) + (1 - weight) * p1 if one[a] else p1)
-
-    want = sorted((len(t), sum(log_p(*p) for p in t)) for t in pairs)
+    texts = [lm_tokens(r["text"]) for r in rows]
+    model = BruteModel([t for t, r in zip(texts, rows, strict=True) if not r["held"]])
+    want = sorted((len(t), sum(math.log10(model.p(*p)) for p in zip([None, *t], t, strict=False))) for t in texts)
     for train in (flagged.filter("not held"), ~F.col("held")):
-        got = rows_of(bloomlm.score(flagged, train, flag="held", max_bytes=1 << 4))
-        # a Bloom filter may give single n-grams a level too many
+        got = rows_of(bloomlm.score(flagged, train, flag="held"))
         for own, other in zip(sorted((r["n_tokens"], r["score"]) for r in got), want, strict=True):
-            assert own == pytest.approx(other, rel=1e-3)
+            assert own == pytest.approx(other, rel=1e-9)
+
+
+def test_model_is_a_distribution(spark, sf_dir):
+    """The mass over the vocabulary and the unknown class is 1 but for what rounding takes; unseen texts gain over the base."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 7 == 2).alias("held")).cache()
+    model = BruteModel([lm_tokens(r["text"]) for r in docs.filter("not held").collect()])
+    most = [w for w, _ in model.one.most_common(3)] + [w for w, c in model.one.items() if c == 1][:3] + [b"never seen"]
+    for before in most:
+        mass = sum(model.p(before, w) for w in [*model.one, b"never seen"])
+        assert mass + model.lost(before) == pytest.approx(1, abs=1e-9) and model.lost(before) < 0.25
+    # the same through the operator: texts of one word, after the start of a text
+    words = [w.decode() for w in model.one if w is not None] + ["\x01unseen"]
+    asked = spark.createDataFrame([(i, w, False) for i, w in enumerate(["", *words])], "doc_id long, text string, held boolean")
+    scores = {r["doc_id"]: r["score"] for r in rows_of(bloomlm.score(asked, docs.filter("not held"), flag="held"))}
+    first = [10 ** scores[0]] + [10 ** (scores[i] - math.log10(model.p(w.encode(), None))) for i, w in enumerate(words, 1)]
+    assert sum(first) + model.lost(None) == pytest.approx(1, abs=1e-6)
+    held = [r for r in rows_of(bloomlm.score(docs, ~F.col("held"), flag="held")) if r["held"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
 def test_blocks_of_any_size_hold_all_rows(spark, docs):
@@ -469,16 +523,24 @@ def test_language_model_edges(spark, docs, empty):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["base_score"] == 0 for r in got)
 
 
-def test_filter_gives_levels(spark):
-    texts = spark.createDataFrame([(" ".join(["a"] * 40 + ["b"] * 5 + ["c"]),)] * 3, "text string")
-    held, totals = bloomlm.build_filter(bloomlm.count_ngrams(texts, tokens_per_flush=50))
-    h = np.array([bloomlm.TokenHashes()[w] for w in (b"a", b"b", b"c", b"zzz")], np.uint64)
-    assert held.levels(h, 1).tolist() == [7, 4, 2, 0]
-    assert totals["tokens"] == 3 * 47 and totals["distinct"] == 4
-    stranger = np.random.default_rng(0).integers(0, 2**63, 20_000, dtype=np.uint64)
-    assert (held.levels(stranger, 2) > 0).mean() < 0.001
-    small, _ = bloomlm.build_filter(bloomlm.count_ngrams(texts), max_bytes=1 << 4)
-    assert small.least > 1 and small.levels(h, 1)[0] > 0
+def test_filter_gives_levels():
+    counts = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 1000, 10**12])
+    assert bloomlm.quantised(bloomlm.level_of(counts)).tolist() == [BruteModel.floor(c) for c in counts.tolist()]
+    r = np.random.default_rng(0)
+    held, level = r.integers(0, 2**63, 5000, dtype=np.uint64), bloomlm.level_of(r.integers(1, 50, 5000))
+    size = bloomlm.part_size(int(level.sum()))
+    bits = bloomlm.fill(held, level, size)
+    assert (bloomlm.probe(bits, held, size) == level).all()
+    assert not bloomlm.probe(bits, r.integers(0, 2**63, 200_000, dtype=np.uint64), size).any()
+
+
+def test_packed_hashes_come_back():
+    h = np.random.default_rng(1).integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2)
+    for bits in (12, 17, 24):
+        for order in (1, 2):
+            rows = bloomlm.rows_by_prefix(h, order, np.ones(len(h), bool), bits)
+            back = np.concatenate([bloomlm.unpack_hashes(a, order, k & ((1 << bloomlm.KEY_SHIFT) - 1), bits) for k, a, _ in rows])
+            assert (back == np.unique(bloomlm.shorten(h, order, bits))).all() and all(k >> bloomlm.KEY_SHIFT == order for k, _, _ in rows)
 
 
 # 9
@@ -585,21 +647,34 @@ def brute_tokens(word, trie):
 
 
 def test_trie_counts_against_brute_force(spark, docs, empty):
-    trie = triecount.UnigramTrie(triecount.pieces_of(tokens.vocabulary_path("piece_bpe_32k.model")), max_nodes=300)
-    for r in rows_of(triecount.count_tokens(docs.select("doc_id", "text", F.col("text").alias("own")))):
-        assert set(r) == {"doc_id", "n_words", "n_tokens"}
-    texts = [r["text"] for r in rows_of(docs) if r["text"] and len(r["text"]) < 6000]
-    for w in {w for t in texts for w in WORD.findall(t)}:
-        assert trie([w]) == brute_tokens(triecount.MARK + w, trie), w
-    shared = len(trie.best)
-    trie.reset()
-    trie(["abcdef"])
-    nodes = len(trie.best)
-    trie(["abcdeg"])
-    assert len(trie.best) == nodes + 1 and shared
+    model = triecount.Unigram(triecount.pieces_of(tokens.vocabulary_path("piece_bpe_32k.model")), longest=40, bytes_at_once=3000)
+    words = sorted({w for r in rows_of(docs) for w in WORD.findall(r["text"] or "") if len(w) < 3000} | {"abcdef", "abcdeg", "▁a", "a😀b", "\x00", "né" * 30, "x" * 41, "中"})
+    want = {w: brute_tokens(triecount.MARK + w, model) for w in words}
+    assert model.counts(pa.array(words)).tolist() == [want[w] for w in words]
+    got = sorted((r["n_words"], r["n_tokens"]) for r in rows_of(triecount.count_tokens(docs)) if r["doc_id"] != 106)
+    own = [WORD.findall(r["text"] or "") for r in rows_of(docs) if r["doc_id"] != 106]
+    assert got == sorted((len(ws), sum(want[w] for w in ws)) for ws in own)
     assert triecount.count_tokens(empty).count() == 0
-    counts = Counter(r["n_tokens"] for r in rows_of(triecount.count_tokens(docs)))
-    assert counts[0] == 4  # two null texts, an empty one, one of white space
+    extra = triecount.count_tokens(docs.select("doc_id", "text", F.col("text").alias("own")))
+    assert extra.columns == ["doc_id", "n_words", "n_tokens"]
+
+
+def test_a_prefix_is_scored_once():
+    model = triecount.Unigram(["▁", "a", "b", "ab", "abc", "c"])
+    seen = []
+    level = model._level
+    model._level = lambda base, above, *rest: seen.append(len(above) - base) or level(base, above, *rest)
+    assert model.counts(pa.array(["abca", "abcb", "ab", "ba"])).tolist() == [3, 3, 2, 3]
+    assert seen == [1, 2, 2, 1, 2]  # the mark; a, b; ab, ba; abc; abca, abcb
+
+
+def test_clashing_id_columns(spark):
+    rows = spark.createDataFrame([(1, "one two")], "start long, text string").withColumn("n_tokens", F.col("start"))
+    for call in (lambda c: packing.pack(rows, id_column=c), lambda c: pfor.write_and_read(rows, id_column=c)):
+        with pytest.raises(ValueError):
+            call("start")
+    with pytest.raises(ValueError):
+        triecount.count_tokens(rows, id_column="n_tokens")
 
 
 def test_schema_types_survive(spark):

@@ -1,26 +1,36 @@
 """LM scoring with a log-frequency Bloom filter.
 
 Training counts n-grams (orders 1 and 2) of hashed tokens.  The filter holds each n-gram once for each level of its
-quantised count: 1 + floor(log2(count)) levels.  Scoring probes level after level until one is missing, takes the
-level's middle count, and interpolates the bigram's relative frequency with the add-one unigram probability; the
-bigram's weight is one minus the Good-Turing mass of unseen bigrams.
+quantised count: 1, 2, 3, 4, 6, 8, 12, 16, 24, ... rounded down.  Scoring probes level after level until one is
+missing; the last level found gives the quantised count q, never above the true one but by filter error.
+
+The model, over the training tokens and one unknown class, is proper for every previous token h:
+
+    p1(w) = (q(w) + 1) / (sum of q + V + 1)        p(w | h) = (q(h, w) + K p1(w)) / (c(h) + K)
+
+c(h) is h's exact training count, K the mean number of distinct tokens that follow a token (Dirichlet smoothing).  As
+q is rounded down, the sum over w falls short of 1 by what rounding took away, (c(h) - sum of q(h, w)) / (c(h) + K);
+that rest belongs to an event that no text holds, so no probability is unearned.  Filter error: an n-gram that is not
+held passes with probability (1 - exp(-PROBES / BITS_PER_ENTRY)) ** PROBES at most, some 3e-13 a probe, which adds at
+most V times that, over c(h) + K, to a sum.
 
 How it scales: texts are staged in blocks.  Each block sends its distinct n-grams, with their training counts, as
-sorted hashes to the owners of their order and hash prefix, so no key is hot.  An owner adds the counts up, builds its
-own part of the filter, sized by the part's entries, probes it for the n-grams of every block and answers with levels
-and, for tokens, exact counts.  Block and answers meet by block number.  No n-gram is left out at any size of corpus,
-and nothing but three sums reaches the driver.  :func:`build_filter` makes the filter as one object instead, for
-corpora small enough for that; ``score`` does not use it.
+sorted hashes to the owners of their order and hash prefix, so no key is hot; there are more prefixes where there are
+more blocks.  An owner adds the counts up, builds its own part of the filter, sized by the part's entries, probes it
+for the n-grams of every block and answers with levels and, for tokens, exact counts.  Block and answers meet by block
+number.  No n-gram is left out at any size of corpus; nothing of the filter is broadcast, as its size grows with the
+corpus, and nothing but a few sums reaches the driver.
 
 Tokens are the words of the text with A-Z in lower case, then one end token; 64-bit hashes stand for tokens, 60-bit
-hashes for bigrams.  Defined results: null text counts as empty and has the end token only; with no training
-document every count is 0; rows that share an id are scored each; an empty table gives an empty result.
+hashes or longer ones for bigrams.  Defined results: null text counts as empty and has the end token only; with no
+training document every count is 0 and every score too; rows that share an id are scored each, equal texts alike; an
+empty table gives an empty result; very long texts are blocks of their own; an id or flag column named like an output
+column raises ValueError, other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,33 +40,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.llm.common import stage
+from tidegraph.llm.common import no_clash, stage
 
-PREFIX_BITS = 12
-PREFIXES = 1 << PREFIX_BITS
-LEVELS = 40
-BLOCK_BITS = 512
-PROBES = 4
-#: Bytes of a hash that are kept beside its prefix: all of a token's, 60 bits in all of a bigram's.
+#: A key is an order and a prefix of a hash, of at least MIN_PREFIX_BITS.
+KEY_SHIFT = 26
+MIN_PREFIX_BITS = 12
+#: Blocks whose n-grams of one prefix an owner holds for each bit less: 2 ** 15 blocks have the least prefixes.
+BLOCKS_AT_LEAST_BITS = 1 << 15
+PROBES = 12
+BITS_PER_ENTRY = 128
+#: Bytes of a hash that are kept beside its prefix: all of a token's, 60 bits or more in all of a bigram's.
 KEPT = {1: 7, 2: 6}
 _M1, _M2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
-
-class TokenHashes(dict):
-    """Token bytes to a 64-bit hash; forgets all when full."""
-
-    def __init__(self, limit: int = 500_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, token: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = xxhash.xxh64_intdigest(token)
-        self[token] = h
-        return h
-
-
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line end
 
 
@@ -69,16 +65,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def token_arrays(bodies: list[bytes], hashes: TokenHashes) -> tuple[np.ndarray, np.ndarray]:
-    """(all token hashes, each text's ended by END; the number of tokens of each text)."""
-    flat: list[int] = []
-    sizes = []
-    for b in bodies:
-        words = b.lower().split()
-        flat.extend([hashes[w] for w in words])
-        flat.append(END)
-        sizes.append(len(words) + 1)
-    return np.array(flat, np.uint64), np.array(sizes, np.int64)
+def token_arrays(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all token hashes, each text's ended by END; the number of tokens of each text); null is the empty text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    real = pc.binary_length(words).to_numpy() > 0  # the split leaves empty words at the ends of texts
+    ends = np.concatenate([[0], np.cumsum(real)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    coded = words.filter(pa.array(real)).dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
+    sizes = np.diff(ends) + 1
+    out = np.full(len(coded) + len(sizes), END, np.uint64)
+    own = np.ones(len(out), bool)
+    own[np.cumsum(sizes) - 1] = False
+    out[own] = hashes[coded.indices.to_numpy()]
+    return out, sizes
 
 
 def bigrams(tokens: np.ndarray) -> np.ndarray:
@@ -87,214 +88,93 @@ def bigrams(tokens: np.ndarray) -> np.ndarray:
     return mix(before * _STEP + (tokens ^ (tokens >> np.uint64(31))))
 
 
-def prefix_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - PREFIX_BITS)).astype(np.int64)
-
-
-def shorten(h: np.ndarray, order: int) -> np.ndarray:
-    """The bits of a hash that survive packing."""
+def shorten(h: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """What of a hash survives packing: its prefix and its last bytes."""
     low = np.uint64((1 << (8 * KEPT[order])) - 1)
-    top = h >> np.uint64(64 - PREFIX_BITS) << np.uint64(64 - PREFIX_BITS)
-    return top | (h & low)
+    return h >> np.uint64(64 - bits) << np.uint64(64 - bits) | (h & low)
 
 
 def pack_hashes(h: np.ndarray, order: int) -> bytes:
     return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEPT[order]]).tobytes()
 
 
-def unpack_hashes(body: bytes, order: int, prefix: int) -> np.ndarray:
+def unpack_hashes(body: bytes, order: int, prefix: int, bits: int) -> np.ndarray:
     kept = KEPT[order]
     out = np.zeros((len(body) // kept, 8), np.uint8)
     out[:, :kept] = np.frombuffer(body, np.uint8).reshape(-1, kept)
-    return out.reshape(-1).view("<u8") | (np.uint64(prefix) << np.uint64(64 - PREFIX_BITS))
+    return out.reshape(-1).view("<u8") | (np.uint64(prefix) << np.uint64(64 - bits))
 
 
-def _blocks(h: np.ndarray, order: int, learn: np.ndarray | None = None):
-    """Sorted (key, packed hashes, packed counts) of one batch of n-grams, a row for each prefix; ``learn`` marks those that count."""
-    if learn is None:
-        values, counts = np.unique(shorten(h, order), return_counts=True)
-    else:
-        values, at = np.unique(shorten(h, order), return_inverse=True)
-        counts = np.bincount(at[learn], minlength=len(values))
-    counts = counts.astype("<u4")
-    edges = np.searchsorted(values, np.arange(PREFIXES + 1, dtype=np.uint64) << np.uint64(64 - PREFIX_BITS))
-    edges[-1] = len(values)  # the last start wraps to 0
+def rows_by_prefix(h: np.ndarray, order: int, learn: np.ndarray, bits: int) -> list[tuple[int, bytes, bytes]]:
+    """(key, packed hashes, packed counts) of one block of n-grams, sorted; ``learn`` marks those that count."""
+    values, at = np.unique(shorten(h, order, bits), return_inverse=True)
+    counts = np.bincount(at[learn], minlength=len(values)).astype("<u4")
+    prefixes = (values >> np.uint64(64 - bits)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(prefixes, prepend=-1))
     packed, kept = pack_hashes(values, order), KEPT[order]
     small = counts.max(initial=0) < 256
     body = counts.astype(np.uint8 if small else "<u4").tobytes()
     width = 1 if small else 4
-    for p in np.flatnonzero(np.diff(edges)).tolist():
-        a, b = int(edges[p]), int(edges[p + 1])
-        yield order * PREFIXES + p, packed[a * kept : b * kept], body[a * width : b * width]
+    stops = np.append(starts[1:], len(values))
+    return [(order << KEY_SHIFT | p, packed[a * kept : b * kept], body[a * width : b * width]) for p, a, b in zip(prefixes[starts].tolist(), starts.tolist(), stops.tolist(), strict=True)]
 
 
 def part_counts(hashes: bytes, counts: bytes, order: int) -> np.ndarray:
-    """The counts of one row of :func:`_blocks`, packed in one byte or four each."""
+    """The counts of one row of :func:`rows_by_prefix`, packed in one byte or four each."""
     return np.frombuffer(counts, np.uint8 if len(counts) * KEPT[order] == len(hashes) else "<u4").astype(np.int64)
 
 
-def count_ngrams(texts: DataFrame, *, tokens_per_flush: int = 1_500_000) -> DataFrame:
-    """The staged counts: (key, hashes, counts u4, levels) for each order and prefix; ``texts`` has one column."""
-
-    def local(batches):
-        hashes, held, size = TokenHashes(), [], 0
-
-        def flush():
-            tokens = np.concatenate(held)
-            for h, order in ((tokens, 1), (bigrams(tokens), 2)):
-                rows = list(_blocks(h, order))
-                for at in range(0, len(rows), 1024):
-                    keys, a, b = zip(*rows[at : at + 1024], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["key", "hashes", "counts"])
-
-        for batch in batches:
-            bodies = batch.column(0).cast(pa.binary()).to_pylist()
-            tokens, _ = token_arrays([b or b"" for b in bodies], hashes)
-            held.append(tokens)
-            size += len(tokens)
-            if size >= tokens_per_flush:
-                yield from flush()
-                held, size = [], 0
-        if size:
-            yield from flush()
-
-    def merge(batches):
-        def total(key: int, parts: list[tuple[bytes, bytes]]):
-            order, prefix = divmod(key, PREFIXES)
-            h = np.concatenate([unpack_hashes(a, order, prefix) for a, _ in parts])
-            c = np.concatenate([part_counts(a, b, order) for a, b in parts])
-            at = np.argsort(h, kind="stable")
-            h, c = h[at], c[at]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            c = np.add.reduceat(c, first)
-            levels = np.bincount(level_of(c), minlength=LEVELS + 1)
-            return key, pack_hashes(h[first], order), c.astype("<u8").tobytes() if c.max() >= 1 << 32 else c.astype("<u4").tobytes(), levels.tolist(), int(c.sum())
-
-        now, parts = None, []
-        names = ["key", "hashes", "counts", "levels", "total"]
-        types = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
-
-        def row(x):
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(x, types, strict=True)], names=names)
-
-        for batch in batches:
-            for key, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if key != now:
-                    if parts:
-                        yield row(total(now, parts))
-                    now, parts = key, []
-                parts.append((a, b))
-        if parts:
-            yield row(total(now, parts))
-
-    rows = texts.mapInArrow(local, "key int, hashes binary, counts binary")
-    by_key = rows.repartition("key").sortWithinPartitions("key")
-    return stage(by_key.mapInArrow(merge, "key int, hashes binary, counts binary, levels array<bigint>, total bigint"), "ngrams")
-
-
 def level_of(c: np.ndarray) -> np.ndarray:
-    """1 + floor(log2(count))."""
-    return np.frexp(c.astype(np.float64))[1].astype(np.int64)
+    """The level of a count: 0 to 3 themselves, then two for each power of two."""
+    c = np.asarray(c, np.int64)
+    e = np.frexp(np.maximum(c, 2).astype(np.float64))[1].astype(np.int64) - 1
+    return np.where(c < 4, c, 2 * e + (c >> (e - 1) & 1))
 
 
-def middle(level: np.ndarray) -> np.ndarray:
-    """The count that a level stands for: 0, 1, then the geometric middle of [2^(level - 1), 2^level)."""
-    level = np.asarray(level, np.float64)
-    return np.where(level <= 1, level, 2 ** (level - 0.5))
+def quantised(level: np.ndarray) -> np.ndarray:
+    """The least count of a level."""
+    level = np.asarray(level, np.int64)
+    return np.where(level < 4, level, (2 + level % 2) << np.maximum(level // 2 - 1, 0))
 
 
-def counts_of(row_hashes: bytes, row_counts: bytes, order: int) -> np.ndarray:
-    n = len(row_hashes) // KEPT[order]
-    return np.frombuffer(row_counts, "<u8" if len(row_counts) == 8 * n and n else "<u4").astype(np.int64)
+def probe_bits(h: np.ndarray, level: np.ndarray | int, size: int) -> np.ndarray:
+    """(n, PROBES) bit positions in a part of ``size`` bits, a power of two."""
+    key = h + np.asarray(level, np.uint64) * _STEP
+    out = np.empty((len(h), PROBES), np.int64)
+    low = np.uint64(0xFFFFFFFF)
+    for k in range(0, PROBES, 2):
+        g = mix(key ^ np.uint64((k + 1) * 0x517CC1B727220A95 % 2**64))
+        out[:, k], out[:, k + 1] = g & low, g >> np.uint64(32)
+    return out & (size - 1)
 
 
-def probe_bits(h: np.ndarray, level: int, blocks: int) -> np.ndarray:
-    """(n, PROBES) bit positions inside a prefix's part of ``blocks`` blocks."""
-    block = (h >> np.uint64(20)) & np.uint64(blocks - 1)
-    g = mix(h + np.uint64(level) * _STEP)
-    shifts = np.arange(PROBES, dtype=np.uint64) * np.uint64(9)
-    return (block[:, None] << np.uint64(9)) | ((g[:, None] >> shifts) & np.uint64(BLOCK_BITS - 1))
+def part_size(entries: int) -> int:
+    """Bits of a filter's part: a power of two of at least BITS_PER_ENTRY an entry."""
+    return 1 << max(9, (entries * BITS_PER_ENTRY - 1).bit_length())
 
 
-def fill(h: np.ndarray, q: np.ndarray, blocks: int) -> np.ndarray:
+def fill(h: np.ndarray, q: np.ndarray, size: int) -> np.ndarray:
     """A part's bits (uint8) with each n-gram held at the levels 1 to ``q``."""
-    part = np.zeros(blocks * BLOCK_BITS, bool)
-    for level in range(1, int(q.max(initial=0)) + 1):
-        part[probe_bits(h[q >= level], level, blocks).astype(np.int64).ravel()] = True
+    part = np.zeros(size, bool)
+    for at in range(0, len(h), 1 << 16):
+        own = q[at : at + (1 << 16)]
+        level = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + 1
+        part[probe_bits(np.repeat(h[at : at + (1 << 16)], own), level, size).ravel()] = True
     return np.packbits(part, bitorder="little")
 
 
-def probe(bits: np.ndarray, h: np.ndarray, blocks: int, base: np.ndarray | None = None) -> np.ndarray:
-    """How many levels from 1 on hold each n-gram, until one misses; ``base`` is where its part's bits begin."""
+def probe(bits: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
+    """How many levels from 1 on hold each n-gram, until one misses."""
     out = np.zeros(len(h), np.int64)
-    live = np.arange(len(h))
-    for level in range(1, LEVELS + 1):
-        at = probe_bits(h[live], level, blocks).astype(np.int64)
-        at = at if base is None else at + base[live, None]
+    live, level = np.arange(len(h)), 0
+    while len(live):
+        level += 1
+        at = probe_bits(h[live], level, size)
         live = live[((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)]
-        if not len(live):
-            break
         out[live] = level
     return out
 
 
-@dataclass(frozen=True)
-class Filter:
-    """The log-frequency filter: for each order, n-grams from level ``least`` on."""
-
-    bits: np.ndarray  # uint8, PREFIXES parts of blocks * 64 bytes
-    blocks: int
-    least: int
-
-    def levels(self, h: np.ndarray, order: int) -> np.ndarray:
-        """The level of each n-gram, 0 if it isn't held: membership probes until one misses."""
-        h = shorten(h, order)
-        if order == 2:
-            h = h ^ np.uint64(1 << 19)
-        found = probe(self.bits, h, self.blocks, prefix_of(h) * (self.blocks * BLOCK_BITS))
-        return np.where(found > 0, found + self.least - 1, 0)
-
-
-def build_filter(counts: DataFrame, *, max_bytes: int = 32 << 20, bits_per_entry: int = 8) -> tuple[Filter, dict]:
-    """The filter as one object, and the totals {tokens, distinct, bigrams, once}.
-
-    To fit ``max_bytes`` it leaves out n-grams below a power-of-two count; ``score`` does not use it.
-    """
-    stats = counts.select("key", "levels", "total").collect()  # at most 2 * PREFIXES rows
-    levels = {o: np.zeros(LEVELS + 1, np.int64) for o in KEPT}
-    tokens = 0
-    for r in stats:
-        order = r["key"] // PREFIXES
-        levels[order] += np.array(r["levels"], np.int64)
-        tokens += r["total"] if order == 1 else 0
-    totals = {"tokens": tokens, "distinct": int(levels[1].sum()), "bigrams": int(levels[2].sum()), "once": int(levels[2][1]), "levels": levels[1]}
-    both = levels[1] + levels[2]
-    entries = lambda least: int(sum(both[q] * (q - least + 1) for q in range(least, LEVELS + 1)))
-    least = 1
-    while entries(least) * bits_per_entry > 8 * max_bytes and least < LEVELS:
-        least += 1
-    size = PREFIXES * BLOCK_BITS // 8
-    while size < max_bytes and size * 8 < entries(least) * bits_per_entry:
-        size *= 2
-    blocks = size // PREFIXES // (BLOCK_BITS // 8)
-
-    def build(batches):
-        for batch in batches:
-            for key, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                order, prefix = divmod(key, PREFIXES)
-                h, q = unpack_hashes(a, order, prefix), level_of(counts_of(a, b, order)) - least + 1
-                if order == 2:
-                    h = h ^ np.uint64(1 << 19)
-                yield pa.RecordBatch.from_arrays([pa.array([prefix], pa.int32()), pa.array([fill(h, q, blocks).tobytes()], pa.binary())], names=["prefix", "part"])
-
-    bits = np.zeros((PREFIXES, size // PREFIXES), np.uint8)
-    parts = counts.select("key", "hashes", "counts").mapInArrow(build, "prefix int, part binary")
-    found = parts.toArrow()  # at most 2 * max_bytes in all
-    for prefix, part in zip(found.column(0).to_pylist(), found.column(1), strict=True):
-        bits[prefix] |= np.frombuffer(part.as_buffer(), np.uint8)
-    return Filter(bits.reshape(-1), blocks, least), totals
-
-
 def pack_blocks(rows: DataFrame, *, bytes_per_block: int = 8 << 20) -> DataFrame:
     """The staged blocks: (block, body); a body is a compressed Arrow stream of consecutive ``rows``, whose third column is text."""
 
@@ -306,7 +186,7 @@ def pack_blocks(rows: DataFrame, *, bytes_per_block: int = 8 << 20) -> DataFrame
 
         def row():
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
                 for b in held:
                     out.write_batch(b)
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "body"])
@@ -329,44 +209,43 @@ def pack_blocks(rows: DataFrame, *, bytes_per_block: int = 8 << 20) -> DataFrame
     return stage(rows.mapInArrow(pack, "block bigint, body binary"), "lm-blocks")
 
 
-def answers(blocks: DataFrame, *, bits_per_entry: int = 8) -> DataFrame:
+def answers(blocks: DataFrame, bits: int) -> DataFrame:
     """The staged answers: (block, key, counts, levels) of the sorted n-grams of each block, order and prefix.
 
-    Rows of no block hold, for each key, the sums ``total`` of counts, ``distinct`` n-grams and those seen ``once``.
+    Rows of no block hold, for each key, the sums ``total`` of counts and ``held`` of quantised counts, and the number of ``distinct`` n-grams.
     """
 
     def ask(batches):
-        hashes = TokenHashes(200_000)
         for batch in batches:
             for block, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                texts = pa.ipc.open_stream(body.as_buffer()).read_all()
-                tokens, sizes = token_arrays([b or b"" for b in texts.column(2).cast(pa.binary()).to_pylist()], hashes)
+                texts = pa.ipc.open_stream(body.as_buffer()).read_all().combine_chunks()
+                tokens, sizes = token_arrays(texts.column(2).combine_chunks())
                 learn = np.repeat(texts.column("learn").to_numpy(), sizes)
                 asks = block if pc.any(texts.column("ask")).as_py() else None
                 del texts
                 for order in KEPT:
-                    h = tokens if order == 1 else bigrams(tokens)
-                    rows = list(_blocks(h if asks is not None else h[learn], order, learn if asks is not None else None))
+                    h, counts = tokens if order == 1 else bigrams(tokens), learn
+                    if asks is None:
+                        h, counts = h[learn], np.ones(int(learn.sum()), bool)
+                    rows = rows_by_prefix(h, order, counts, bits)
                     for at in range(0, len(rows), 1024):
                         keys, a, b = zip(*rows[at : at + 1024], strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array([asks] * len(keys), pa.int64()), pa.array(keys, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["block", "key", "hashes", "counts"])
 
     def answer(batches):
-        names = ["block", "key", "counts", "levels", "total", "distinct", "once"]
+        names = ["block", "key", "counts", "levels", "total", "held", "distinct"]
         types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
         def reply(key: int, parts: list[tuple[int | None, bytes, bytes]]):
-            order, prefix = divmod(key, PREFIXES)
-            h = np.concatenate([unpack_hashes(a, order, prefix) for _, a, _ in parts])
+            order, prefix = key >> KEY_SHIFT, key & ((1 << KEY_SHIFT) - 1)
+            h = np.concatenate([unpack_hashes(a, order, prefix, bits) for _, a, _ in parts])
             c = np.concatenate([part_counts(a, b, order) for _, a, b in parts])
             distinct, at = np.unique(h, return_inverse=True)
             c = np.bincount(at, c, len(distinct)).astype(np.int64)  # exact below 2 ** 53
             q = level_of(c)
-            size = 1
-            while size * BLOCK_BITS < int(q.sum()) * bits_per_entry:
-                size *= 2
+            size = part_size(int(q.sum()))
             levels = probe(fill(distinct, q, size), distinct, size).astype(np.uint8)
-            rows = [(None, key, None, None, int(c.sum()), int((c > 0).sum()), int((c == 1).sum()))]
+            rows = [(None, key, None, None, int(c.sum()), int(quantised(q).sum()), int((c > 0).sum()))]
             end = 0
             for block, a, _ in parts:
                 start, end = end, end + len(a) // KEPT[order]
@@ -388,16 +267,16 @@ def answers(blocks: DataFrame, *, bits_per_entry: int = 8) -> DataFrame:
 
     rows = blocks.mapInArrow(ask, "block bigint, key int, hashes binary, counts binary")
     by_key = rows.repartition("key").sortWithinPartitions("key")
-    return stage(by_key.mapInArrow(answer, "block bigint, key int, counts binary, levels binary, total bigint, distinct bigint, once bigint"), "lm-answers")
+    return stage(by_key.mapInArrow(answer, "block bigint, key int, counts binary, levels binary, total bigint, held bigint, distinct bigint"), "lm-answers")
 
 
-def score(docs: DataFrame, train: DataFrame | Column, *, id_column: str = "doc_id", text: str = "text", flag: str, max_head: int | None = None, max_bytes: int | None = None) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame | Column, *, id_column: str = "doc_id", text: str = "text", flag: str) -> DataFrame:
     """(id, flag, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
     ``train`` holds the texts to learn from in column ``text``, or is a condition on the rows of ``docs``, which saves
-    a pass; ``flag`` is a boolean column of ``docs``.  ``max_head`` and ``max_bytes`` bounded what was broadcast;
-    nothing is any more, and they have no effect.
+    a pass; ``flag`` is a boolean column of ``docs``.
     """
+    no_clash([id_column, flag], ["n_tokens", "n_known", "train_tokens", "base_score", "score"])
     own = [F.col(id_column).alias("id"), F.col(flag).alias("flag"), F.col(text).alias("text")]
     if isinstance(train, Column):
         rows = docs.select(*own, F.coalesce(train, F.lit(False)).alias("learn"), F.lit(True).alias("ask"))
@@ -405,36 +284,33 @@ def score(docs: DataFrame, train: DataFrame | Column, *, id_column: str = "doc_i
         none = [F.lit(None).cast(docs.schema[c].dataType).alias(n) for c, n in ((id_column, "id"), (flag, "flag"))]
         rows = docs.select(*own, F.lit(False).alias("learn"), F.lit(True).alias("ask")).unionAll(train.select(*none, F.col(text).alias("text"), F.lit(True).alias("learn"), F.lit(False).alias("ask")))
     blocks = pack_blocks(rows)
-    replies = answers(blocks)
-    sums = {r["order"]: r for r in replies.groupBy(F.floor(F.col("key") / PREFIXES).alias("order")).agg(*[F.sum(c).alias(c) for c in ("total", "distinct", "once")]).collect()}
-    tokens, distinct = (sums[1]["total"], sums[1]["distinct"]) if 1 in sums else (0, 0)
+    bits = min(KEY_SHIFT - 2, MIN_PREFIX_BITS + max(0, math.ceil(blocks.count() / BLOCKS_AT_LEAST_BITS) - 1).bit_length())
+    replies = answers(blocks, bits)
+    found = {r["order"]: r for r in replies.groupBy(F.shiftright("key", KEY_SHIFT).alias("order")).agg(*[F.sum(c).alias(c) for c in ("total", "held", "distinct")]).collect()}
+    tokens, held, distinct = (found[1][c] for c in ("total", "held", "distinct")) if 1 in found else (0, 0, 0)
     norm = math.log10(tokens + distinct + 1)
-    weight = 1 - sums[2]["once"] / tokens if tokens else 0.0
+    prior = found[2]["distinct"] / distinct if distinct else 1.0
     schema = T.StructType([
         T.StructField("id", docs.schema[id_column].dataType), T.StructField("flag", docs.schema[flag].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
         T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()),
     ])
 
     def per_block(batches):
-        hashes = TokenHashes(200_000)
-
         def scored(body: bytes, replies: dict[int, list[tuple[bytes, bytes]]]):
-            texts = pa.ipc.open_stream(body).read_all()
-            flat, sizes = token_arrays([b or b"" for b in texts.column(2).cast(pa.binary()).to_pylist()], hashes)
+            texts = pa.ipc.open_stream(body).read_all().combine_chunks()
+            flat, sizes = token_arrays(texts.column(2).combine_chunks())
             starts = np.cumsum(sizes) - sizes
-            at = np.unique(shorten(flat, 1), return_inverse=True)[1]
+            at = np.unique(shorten(flat, 1, bits), return_inverse=True)[1]
             c = np.frombuffer(b"".join(a for a, _ in replies[1]), "<i8")
             base = np.add.reduceat(np.log10(c + 1.0)[at], starts) - sizes * norm
             n_known = np.add.reduceat((c > 0).astype(np.int64)[at], starts)
-            # the model: quantised counts from the filter only
-            single = middle(np.frombuffer(b"".join(b for _, b in replies[1]), np.uint8))
-            p1 = ((single + 1) / (tokens + distinct + 1))[at]
-            pairs = np.unique(shorten(bigrams(flat), 2), return_inverse=True)[1]
-            pair = middle(np.frombuffer(b"".join(b for _, b in replies[2]), np.uint8))[pairs]
-            before = np.concatenate([single[at[sizes[0] - 1 : sizes[0]]], single[at[:-1]]])
-            ratio = np.minimum(1.0, pair / np.maximum(before, 1.0))
-            p = np.where(before > 0, weight * ratio + (1 - weight) * p1, p1)
-            scores = np.add.reduceat(np.log10(p), starts)
+            # the model: n-gram counts from the filter only
+            single = quantised(np.frombuffer(b"".join(b for _, b in replies[1]), np.uint8))
+            p1 = ((single + 1) / (held + distinct + 1))[at]
+            pairs = np.unique(shorten(bigrams(flat), 2, bits), return_inverse=True)[1]
+            pair = quantised(np.frombuffer(b"".join(b for _, b in replies[2]), np.uint8))[pairs]
+            before = np.concatenate([c[at[sizes[0] - 1 : sizes[0]]], c[at[:-1]]])
+            scores = np.add.reduceat(np.log10((pair + prior * p1) / (before + prior)), starts)
             table = pa.table([texts.column(0), texts.column(1), pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(scores)], names=schema.names)
             return table.combine_chunks().to_batches()
 
@@ -446,7 +322,7 @@ def score(docs: DataFrame, train: DataFrame | Column, *, id_column: str = "doc_i
                         yield from scored(body, replies)
                     body, replies = a, {1: [], 2: []}
                 else:
-                    replies[key // PREFIXES].append((a or b"", b))
+                    replies[key >> KEY_SHIFT].append((a or b"", b))
         if body is not None:
             yield from scored(body, replies)
 
