@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import stage
+from tidegraph.llm.common import stage, unstage
 
 #: Edges for each task of a round: a round of few edges takes few tasks, whatever the session's shuffle partitions.
 EDGES_PER_TASK = 400_000
@@ -31,14 +31,17 @@ def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
 def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); a component is named by its least node.
 
-    Each round is written to the shared folder; it ends when a round changes nothing.  An empty table has no nodes.
+    Each round is written to the shared folder, and the one before deleted; it ends when a round changes nothing.  The
+    rounds needed grow with the logarithm of the nodes, squared at most; past ``most_rounds`` RuntimeError is raised
+    rather than a wrong result given.  An empty table has no nodes; null edges, loops and repeated edges don't matter.
     """
     now = stage(edges.select("a", "b").filter(F.col("a") != F.col("b")), "edges")
-    mark = lambda df: tuple(df.coalesce(64).agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
     seen = mark(now)
     for _ in range(most_rounds if seen[0] else 0):
         tasks = max(1, seen[0] // EDGES_PER_TASK)
-        now = stage(_star(_star(now.coalesce(tasks), True, tasks), False, tasks), "edges")
+        last, now = now, stage(_star(_star(now.coalesce(tasks), True, tasks), False, tasks), "edges")
+        unstage(last)
         after = mark(now)
         if after == seen:
             break

@@ -8,13 +8,15 @@ Documents whose sets of word n-grams have a Jaccard similarity of at least ``thr
 3. A comparison looks at the signatures step by step and drops a pair as soon as the posterior probability that its
    similarity reaches the threshold (uniform prior) is below ``tolerance``.
 4. What remains forms groups.  Inside a group all pairs are pruned in the same way and the rest verified exactly,
-   block against block; only counts and a spanning forest leave a task.
+   block against block; only counts and a spanning forest leave a task.  Where only classes are wanted
+   (:func:`keep_one`), each block is held against itself and the group's least node, which is linear in the group;
+   only groups that then still lie apart are compared block against block, but for pairs of one class.
 5. Exact links form the classes.
 
 A group or bucket of any size is dealt out in blocks of bounded size, so no task holds a whole one, and no list of
 all pairs is ever made.  Nodes are 128-bit digests.
 
-Defined results: a text of fewer than ``n`` words has one n-gram, all its words; a null or wordless text has none and
+Defined results: columns other than id and text may have any names; texts may be of any length; a text of fewer than ``n`` words has one n-gram, all its words; a null or wordless text has none and
 is in a class of its own, unlinked; a row's class is the least id in it (rows of null id: the least id of the class,
 null if there is none); ``n_links`` counts the other rows, equal texts included, that are linked to the row; rows
 that share an id are separate rows; an empty table gives an empty result.
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.llm.common import stage
+from tidegraph.llm.common import no_clash, stage
 from tidegraph.llm.components import components
 from tidegraph.llm.idfilter import mark
 
@@ -41,6 +43,8 @@ HASHES = BANDS * ROWS
 STEP = 25
 #: Nodes, and n-grams, that a block holds at most (of one very long text: more n-grams).
 BLOCK_NODES, BLOCK_GRAMS = 256, 1 << 20
+#: Parts that a group's members are dealt to before its size is joined.
+SALTS = 32
 _MIX = np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -229,15 +233,23 @@ def _pairs_pass(pairs: DataFrame, signatures: DataFrame, steps) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(test, "a binary, b binary")
 
 
-def _units(members: DataFrame, sizes: DataFrame, blocks: str) -> DataFrame:
+def _units(members: DataFrame, sizes: DataFrame, *, pivots: bool = False) -> DataFrame:
     """Deal the members of each group out to pairs of blocks.
 
-    members: (grp, node, ...); sizes: (grp, blocks).  Adds unit (a hash of the group and its block pair), and side:
-    0 if the node is of the pair's first block, else 1; in a pair of a block with itself all are of side 0.
+    members: (grp, node, ...); sizes: (grp, blocks) of the groups of two or more blocks.  Adds unit (a hash of the
+    group and its block pair), and side: 0 if the node is of the pair's first block, else 1; in a pair of a block with
+    itself all are of side 0.  With ``pivots`` there are only pairs of a block with itself, and the node that names
+    the group is in all of them.
     """
-    rows = members.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("node", "grp"), F.col(blocks)))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1)))
-    return rows.withColumn("unit", F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))).withColumn("side", (F.col("own") > F.col("other")).cast("int")).drop("own", "other", blocks)
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["grp", "salt"], "left")
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint"))).withColumn("own", F.pmod(F.xxhash64("node", "grp"), F.col("blocks")))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+    if pivots:
+        rows = rows.withColumn("other", F.explode(F.when(F.col("node") == F.col("grp"), every).otherwise(F.array("own"))))
+        return rows.withColumn("unit", F.xxhash64("grp", "other")).withColumn("side", F.lit(0)).drop("own", "other", "blocks", "salt")
+    rows = rows.withColumn("other", F.explode(every))
+    return rows.withColumn("unit", F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))).withColumn("side", (F.col("own") > F.col("other")).cast("int")).drop("own", "other", "blocks", "salt")
 
 
 def _by_unit(units: DataFrame, columns: list[str], handle, schema: str, names: list[str], types: list) -> DataFrame:
@@ -272,8 +284,24 @@ def _by_unit(units: DataFrame, columns: list[str], handle, schema: str, names: l
     return dealt.mapInArrow(run, schema)
 
 
-def join(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
-    """(id, class_id, n_links) for every row of ``docs``."""
+def _apart(units: DataFrame, columns: list[str], handle) -> DataFrame:
+    return stage(_by_unit(units, columns, handle, "a binary, b binary, links bigint", ["a", "b", "links"], [pa.binary(), pa.binary(), pa.int64()]), "links")
+
+
+def _kinds(first: list, other: list, found: np.ndarray) -> np.ndarray:
+    """Of the pairs ``found``, those whose components, at place 1 of each row, differ."""
+    names = [x[1] for x in first], [x[1] for x in other]
+    ids = {c: i for i, c in enumerate(dict.fromkeys([*names[0], *names[1]]))}
+    a, b = (np.array([ids[c] for c in n], np.int64) for n in names)
+    return found[a[found[:, 0]] != b[found[:, 1]]]
+
+
+def _signatures(side: list) -> np.ndarray:
+    return np.frombuffer(b"".join([x[2] for x in side]), np.uint32).reshape(-1, HASHES)
+
+
+def _classify(docs: DataFrame, id_column: str, text: str, n: int, threshold: float, tolerance: float, counts: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """rows (id, node, size, sig), nodes (node, least, copies, size, sig), classes (node, component) and, if ``counts``, links (node, links)."""
     steps = least_matches(threshold, tolerance)
     rows = _nodes(docs, id_column, text, n)
     nodes = rows.filter("size > 0").groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("size").alias("size"), F.min("sig").alias("sig"))
@@ -294,36 +322,29 @@ def join(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", n: i
     apart = apart.filter("lo != hi").select(F.col("bucket").alias("grp"), F.ceil(F.col("n") / BLOCK_NODES).cast("bigint").alias("blocks"))
     loose = stage(labelled.select(F.col("bucket").alias("grp"), "node", "component").join(apart, "grp"), "apart")
     if loose.limit(1).count():
-        units = _units(loose.drop("blocks").join(nodes.select("node", "sig"), "node"), loose.select("grp", "blocks").distinct(), "blocks")
 
         def compare(first, second):
-            a = np.frombuffer(b"".join([x[2] for x in first]), np.uint32).reshape(-1, HASHES)
-            b = a if second is None else np.frombuffer(b"".join([x[2] for x in second]), np.uint32).reshape(-1, HASHES)
             other, offset = second or first, 0 if second is None else len(first)
-            found = prune_all(a, b, steps)
-            names = [x[1] for x in first], [x[1] for x in other]
-            ids = {c: i for i, c in enumerate(dict.fromkeys([*names[0], *names[1]]))}
-            kind = np.array([ids[c] for c in names[0]]), np.array([ids[c] for c in names[1]])
-            found = found[kind[0][found[:, 0]] != kind[1][found[:, 1]]]
+            found = _kinds(first, other, prune_all(_signatures(first), _signatures(other), steps))
             every = [x[0] for x in first] + ([x[0] for x in second] if second else [])
-            return [(every[i], every[j]) for i, j in spanning(found, len(every), offset)]
+            return [(every[i], every[j], 0) for i, j in spanning(found, len(every), offset)]
 
-        more = _by_unit(units, ["node", "component", "sig"], compare, "a binary, b binary", ["a", "b"], [pa.binary(), pa.binary()])
-        more = stage(more, "edges")
+        units = _units(loose.drop("blocks").join(nodes.select("node", "sig"), "node"), loose.filter("blocks > 1").select("grp", "blocks").distinct())
+        more = _apart(units, ["node", "component", "sig"], compare)
         if more.limit(1).count():
-            groups = components(edges.union(more))
+            groups = components(edges.union(more.select("a", "b")))
 
     # exact verification inside the groups, block against block
-    groups = stage(groups.select(F.col("node"), F.col("component").alias("grp")), "groups")
-    member = groups.join(nodes, "node")
+    member = stage(groups.select("node", F.col("component").alias("grp")), "groups").join(nodes, "node")
     sizes = member.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("bigint").alias("blocks"))
-    wanted = member.select("node", "grp", "copies", "sig", F.col("least").alias("__id"))
-    source = docs.select(F.col(id_column).alias("__own"), F.col(text).alias("__text"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("__node"))
-    # only the texts of grouped nodes move
-    source = mark(source, "__own", wanted.select("__id")).filter("__maybe").drop("__maybe")
-    whole = source.join(wanted, source["__own"].eqNullSafe(wanted["__id"]) & (F.col("__node") == F.col("node")))
-    whole = whole.select("node", "grp", "copies", "sig", "__text")
-    units = _units(whole, sizes, "blocks")
+    sizes = stage(sizes.filter("blocks > 1"), "sizes")
+
+    def with_texts(wanted: DataFrame) -> DataFrame:
+        """(node, component, copies, sig, body, grp) of the wanted nodes; only their texts move."""
+        marked = mark(docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("body")), "id", wanted.select("least"))
+        source = marked.filter("maybe").select("row.*").withColumn("digest", F.unhex(F.md5(F.coalesce("body", F.lit("")))))
+        whole = source.join(wanted, source["id"].eqNullSafe(wanted["least"]) & (F.col("digest") == F.col("node")))
+        return whole.select("node", "component", "sig", "copies", "body", "grp")
 
     def verify(first, second):
         hashes = WordHashes()
@@ -331,14 +352,15 @@ def join(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", n: i
         def load(side):
             held = {x[0]: x for x in side}  # rows that share id and text are one node
             side = list(held.values())
-            sig = np.frombuffer(b"".join([x[2] for x in side]), np.uint32).reshape(-1, HASHES)
-            return side, sig, [grams((x[3] or "").encode().split(), n, hashes) for x in side]
+            return side, _signatures(side), [grams((x[4] or "").encode().split(), n, hashes) for x in side]
 
         a, sa, ga = load(first)
         b, sb, gb = load(second) if second else (a, sa, ga)
         found = prune_all(sa, sb, steps)
         if second is None:
             found = found[found[:, 0] < found[:, 1]]
+        if not counts:
+            found = _kinds(a, b, found)
         if not len(found):
             return []
         rows_a, rows_b = np.unique(found[:, 0]), np.unique(found[:, 1])
@@ -349,17 +371,35 @@ def join(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", n: i
         found = found[both >= threshold * union - 1e-9]
         offset = 0 if second is None else len(a)
         every = a + (b if second else [])
-        copies = np.array([x[1] for x in every], np.int64)
-        links = np.zeros(len(every), np.int64)
-        np.add.at(links, found[:, 0], copies[offset + found[:, 1]])
-        np.add.at(links, offset + found[:, 1], copies[found[:, 0]])
-        out = [(every[i][0], None, int(links[i])) for i in np.flatnonzero(links).tolist()]
+        out = []
+        if counts:
+            copies = np.array([x[3] for x in every], np.int64)
+            links = np.zeros(len(every), np.int64)
+            np.add.at(links, found[:, 0], copies[offset + found[:, 1]])
+            np.add.at(links, offset + found[:, 1], copies[found[:, 0]])
+            out = [(every[i][0], None, int(links[i])) for i in np.flatnonzero(links).tolist()]
         return out + [(every[i][0], every[j][0], 0) for i, j in spanning(found, len(every), offset)]
 
-    exact = _by_unit(units, ["node", "copies", "sig", "__text"], verify, "a binary, b binary, links bigint", ["a", "b", "links"], [pa.binary(), pa.binary(), pa.int64()])
-    exact = stage(exact, "links")
+    columns = ["node", "component", "sig", "copies", "body"]
+    wanted = member.select("node", "grp", "copies", "sig", "least", F.col("node").alias("component"))
+    exact = _apart(_units(with_texts(wanted), sizes, pivots=not counts), columns, verify)
     classes = components(exact.filter("b is not null").select("a", "b"))
-    links = exact.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    if counts:
+        return rows, nodes, classes, exact.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    # groups of several blocks that the least node does not hold together
+    split = wanted.drop("component").join(sizes, "grp").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = split.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("grp")
+    rest = stage(split.join(rest, "grp"), "apart")
+    if rest.limit(1).count():
+        more = _apart(_units(with_texts(rest.drop("blocks")), rest.select("grp", "blocks").distinct()), columns, verify)
+        classes = components(exact.select("a", "b").union(more.select("a", "b")))
+    return rows, nodes, classes, None
+
+
+def join(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
+    """(id, class_id, n_links) for every row of ``docs``; an id column of one of the other names raises ValueError."""
+    no_clash([id_column], ["class_id", "n_links"])
+    rows, nodes, classes, links = _classify(docs, id_column, text, n, threshold, tolerance, True)
     named = nodes.select("node", "least", "copies").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("least").alias("class_id"))
     table = named.join(ids, "component").join(links, "node", "left").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
@@ -367,17 +407,24 @@ def join(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", n: i
     return out.select(F.col("id").alias(id_column), F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
-def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: those of the least id; wordless rows stay.
+def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
+    """The rows of ``docs`` that stand for their class, with all their columns; wordless rows all stay.
 
-    Rows of null id stay only if no row of their class has an id; of rows that share id and text, one stays.
+    Of a class one row stays: that of the least id (null comes last), and of rows that share it, that of the least
+    digest of the text; of repeated rows with the same id and text any one.
     """
-    classes = join(docs, id_column=id_column, text=text, **options)
-    state = stage(classes.select(F.col(id_column).alias("id"), F.col(id_column).eqNullSafe(F.col("class_id")).alias("first")), "firsts")
-    firsts = state.filter("first").groupBy(F.col("id").alias("__first")).agg(F.count(F.lit(1)).alias("n"))
+    rows, nodes, classes, _ = _classify(docs, id_column, text, n, threshold, tolerance, False)
+    several = nodes.select("node", "least", "copies").join(classes, "node", "left").filter("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
+    first = several.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("first"))
+    named = several.select("node", "component").join(first, "component").select("node", "first")
+    judged = rows.filter("size > 0").select("id", "node").join(named, "node")
+    judged = judged.withColumn("stays", (F.col("node") == F.col("first.node")) & F.col("id").eqNullSafe(F.col("first.least"))).groupBy("id", "node", "stays").agg(F.count(F.lit(1)).alias("n"))
+    doubtful = stage(judged.filter("not stays or n > 1").select(F.col("id").alias("key"), "node", "stays"), "doubtful")
     # documents that surely stay do not move; the others are looked up
-    marked = mark(docs, id_column, state.filter("not first").select("id"))
-    sure, rest = marked.filter("not __maybe").drop("__maybe"), marked.filter("__maybe").drop("__maybe")
-    looked = rest.join(firsts.select("__first"), rest[id_column].eqNullSafe(F.col("__first")), "left_semi")
-    kept = sure.unionByName(looked)
-    return kept.dropDuplicates([id_column, text]) if firsts.filter("n > 1").limit(1).count() else kept
+    marked = mark(docs, id_column, doubtful.select("key"))
+    rest = marked.filter("maybe").select("row", F.col("row")[id_column].alias("id"), F.unhex(F.md5(F.coalesce(F.col("row")[text], F.lit("")))).alias("digest"))
+    looked = rest.join(doubtful, rest["id"].eqNullSafe(doubtful["key"]) & (F.col("digest") == F.col("node")), "left")
+    kept = marked.filter("not maybe").select("row").union(looked.filter("stays is null").select("row"))
+    if doubtful.filter("stays").limit(1).count():
+        kept = kept.union(looked.filter("stays").dropDuplicates(["id", "digest"]).select("row"))
+    return kept.select("row.*")
