@@ -4,8 +4,10 @@ Each source gets a mean repetition rate that brings its share of the output to i
 draws its count by inverting the Poisson distribution at a number hashed from seed and id, is exploded by that
 count, and all copies are dealt out and ordered by another hash.  Results depend on ids, sources and seed only.
 
-Defined results: null text passes through; a null source is a source of its own; rows that share an id (null
-included) share the draw; an empty table gives an empty result; a source with weight 0 goes.
+Defined results: null and very long texts pass through; a null source is a source of its own; rows that share an id
+(null included) share the draw, and their equal copies the place in the order, in which ties are as Spark leaves them;
+an empty table gives an empty result; a source with weight 0 goes.  Rows are carried in a struct, so columns may have
+any names; only :func:`mix` adds columns, and raises ValueError if there are such already.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import hash_unit, let
+from tidegraph.llm.common import hash_unit, let, no_clash
 
 #: Larger means are drawn as sums of several draws of at most this mean, whose exp(-mean) is a normal double.
 MAX_MEAN = 200.0
@@ -30,7 +32,7 @@ def source_rates(docs: DataFrame, *, source: str = "source", weights: dict | Non
     The target weight of a source is ``weights[source]`` or, without weights, its count to the power ``alpha``; the
     output has ``epochs`` times the rows of the input in the mean.
     """
-    counts = docs.groupBy(F.col(source).alias("__source")).agg(F.count(F.lit(1)).alias("n_docs"))
+    counts = docs.select(F.col(f"`{source}`").alias("__source")).groupBy("__source").agg(F.count(F.lit(1)).alias("n_docs"))
     if weights is None:
         weight = F.pow(F.col("n_docs").cast("double"), F.lit(alpha))
     else:
@@ -56,35 +58,47 @@ def _cdf(rate: Column) -> Column:
 
 
 def poisson_counts(docs: DataFrame, rates: DataFrame, *, id_column: str, source: str, seed: int, n_sources: int) -> DataFrame:
-    """``docs`` with ``__rate`` and ``__count``: the draw of each row."""
-    tables = rates.withColumn("__draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_MEAN)).cast("int"))
-    tables = tables.withColumn("__cdf", _cdf(F.col("rate") / F.col("__draws"))).withColumnRenamed("rate", "__rate").drop("n_docs")
+    """(row, own, rate, n): each row of ``docs``, its id as text, its source's rate and its draw."""
+    tables = rates.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_MEAN)).cast("int"))
+    tables = tables.select(F.col("__source").alias("key"), "rate", "draws", _cdf(F.col("rate") / F.col("draws")).alias("cdf"))
+    id_text = F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("null"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_text.alias("own"), F.col(f"`{source}`").alias("origin"))
     if n_sources <= MAX_BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(tables), docs[source].eqNullSafe(tables["__source"]))
+        joined = rows.join(F.broadcast(tables), rows["origin"].eqNullSafe(tables["key"]))
     else:
-        salted = docs.withColumn("__salt", F.pmod(F.xxhash64(F.col(id_column)), F.lit(SALTS)))
-        tables = tables.withColumn("__tsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(tables, salted[source].eqNullSafe(tables["__source"]) & (F.col("__salt") == F.col("__tsalt"))).drop("__salt", "__tsalt")
-    own = F.coalesce(F.col(id_column).cast("string"), F.lit("null"))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("own"), F.lit(SALTS)))
+        tables = tables.withColumn("tsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(tables, salted["origin"].eqNullSafe(tables["key"]) & (F.col("salt") == F.col("tsalt")))
 
     def draw(j: Column) -> Column:
-        u = hash_unit(F.lit(str(seed)), own, j.cast("string"))
-        return let(u, lambda v: F.size(F.filter(F.col("__cdf"), lambda c: c <= v)).cast("bigint"))
+        u = hash_unit(F.lit(str(seed)), F.col("own"), j.cast("string"))
+        return let(u, lambda v: F.size(F.filter(F.col("cdf"), lambda c: c <= v)).cast("bigint"))
 
-    count = F.aggregate(F.sequence(F.lit(1), F.col("__draws")), F.lit(0).cast("bigint"), lambda t, j: t + draw(j))
-    return joined.withColumn("__count", count).drop("__source", "__cdf", "__draws")
+    count = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0).cast("bigint"), lambda t, j: t + draw(j))
+    return joined.select("row", "own", "rate", count.alias("n"))
 
 
-def mix(docs: DataFrame, *, id_column: str = "doc_id", source: str = "source", weights: dict | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 7) -> DataFrame:
-    """All columns of ``docs`` plus ``__rate``, ``__count``, ``__copy`` (from 0) and ``__key``, in shuffled order."""
+def _mixed(docs: DataFrame, id_column: str, source: str, weights: dict | None, alpha: float, epochs: float, seed: int) -> DataFrame:
+    """(row, rate, n, copy, key) of every copy, in shuffled order."""
     rates = source_rates(docs, source=source, weights=weights, alpha=alpha, epochs=epochs)
     n_sources = rates.limit(MAX_BROADCAST_SOURCES + 1).count()
     drawn = poisson_counts(docs, rates, id_column=id_column, source=source, seed=seed, n_sources=n_sources)
-    copies = drawn.filter("__count > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__count") - 1)))
-    own = F.coalesce(F.col(id_column).cast("string"), F.lit("null"))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"order{seed}"), own, F.col("__copy").cast("string"))), 1, 15), 16, 10).cast("bigint")
+    copies = drawn.filter("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"order{seed}"), "own", F.col("copy").cast("string"))), 1, 15), 16, 10).cast("bigint")
     # a hash of the copy decides its partition and its place there: a global shuffle in one exchange
-    return copies.withColumn("__key", key).repartition("__key").sortWithinPartitions("__key")
+    return copies.select("row", "rate", "n", "copy", key.alias("key")).repartition("key").sortWithinPartitions("key")
+
+
+def mix(docs: DataFrame, *, id_column: str = "doc_id", source: str = "source", weights: dict | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 7) -> DataFrame:
+    """All columns of ``docs`` plus ``__rate``, ``__count``, ``__copy`` (from 0) and ``__key``, in shuffled order."""
+    no_clash(docs.columns, ["__rate", "__count", "__copy", "__key"])
+    out = _mixed(docs, id_column, source, weights, alpha, epochs, seed)
+    return out.select("row.*", F.col("rate").alias("__rate"), F.col("n").alias("__count"), F.col("copy").alias("__copy"), F.col("key").alias("__key"))
+
+
+def replicate(docs: DataFrame, *, id_column: str = "doc_id", source: str = "source", weights: dict | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 7) -> DataFrame:
+    """The columns of ``docs``, whatever their names: each row as often as its draw says, in shuffled order."""
+    return _mixed(docs, id_column, source, weights, alpha, epochs, seed).select("row.*")
 
 
 def poisson_cdf(mean: float) -> list[float]:
