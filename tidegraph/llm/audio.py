@@ -1,13 +1,15 @@
 """Media columns: audio.  8-bit WAV in and out, polyphase resampling, log-mel tensors, energy segments.
 
-``store_audio`` wraps payload bytes as unsigned 8-bit mono samples in a WAV file; ``audio_features`` reads such
-files back and gives, for each, the payload, fixed-shape log-mel tensors with their time spans (an Arrow IPC stream
-whose tensor column has the fixed-shape tensor type) and the spans of its loud segments.
+:func:`store` wraps payload bytes as unsigned 8-bit mono samples in WAV files, the media column of a Parquet table in
+the shared folder; :func:`describe` reads such files back and gives, for each, the payload, fixed-shape log-mel tensors
+with their time spans (an Arrow IPC stream whose tensor column has the fixed-shape tensor type) and the spans of its
+loud segments.
 
 Everything is computed for one file at a time in blocks of fixed size from its start, so equal files give equal
 bytes.  A frame begins at every hop within the file, the last ones filled up with zeros, so every sample counts.
-Defined results: a null payload is an empty file with no frames; repeated rows give repeated results; an empty table
-gives an empty result.
+Defined results: a null payload is an empty file with no frames; repeated rows give repeated results, and equal files
+equal features (ties don't arise); an empty table gives an empty result; a file may be of any length, one at a time is
+in memory with its features; a column named like one that is made raises ValueError, all others are carried along.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegraph.llm.common import no_clash, stage
+
 HEAD = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
 
@@ -171,33 +176,50 @@ def features(payload: bytes, spec: AudioSpec) -> tuple[int, list[dict], bytes]:
     return len(mel), loud, tensors(mel, len(y), spec)
 
 
-def store_and_describe(rows: DataFrame, *, payload: str = "payload", spec: AudioSpec | None = None, bytes_per_batch: int = 8 << 20) -> DataFrame:
-    """All columns of ``rows`` but the payload, then media, payload (read back from media), n_frames, segments, tensors.
-
-    A column of ``rows`` named like one of these raises ValueError.
-    """
+def store(rows: DataFrame, *, payload: str = "payload", spec: AudioSpec | None = None) -> DataFrame:
+    """The stored table: all columns of ``rows`` but the payload, then media."""
     spec = spec or AudioSpec()
     carry = [f for f in rows.schema.fields if f.name != payload]
+    no_clash([f.name for f in carry], ["media"])
+    names = [*[f.name for f in carry], "media"]
+
+    def write(batches):
+        for batch in batches:
+            media = [wav(x.as_py() or b"", spec.rate) for x in batch.column(len(carry))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(media, pa.binary())], names=names)
+
+    made = rows.select(*[F.col(f"`{f.name}`") for f in carry], F.col(f"`{payload}`")).mapInArrow(write, T.StructType([*carry, T.StructField("media", T.BinaryType())]))
+    return stage(made, "audio")
+
+
+def describe(stored: DataFrame, *, spec: AudioSpec | None = None, bytes_per_batch: int = 8 << 20) -> DataFrame:
+    """All columns of ``stored``, then payload (read back from media), n_frames, segments, tensors."""
+    spec = spec or AudioSpec()
     span = T.StructType([T.StructField("start_us", T.LongType()), T.StructField("end_us", T.LongType())])
-    own = [T.StructField("media", T.BinaryType()), T.StructField("payload", T.BinaryType()), T.StructField("n_frames", T.LongType()), T.StructField("segments", T.ArrayType(span)), T.StructField("tensors", T.BinaryType())]
-    if clash := {f.name for f in own} & {f.name for f in carry}:
-        raise ValueError(f"columns clash with features: {sorted(clash)}")
+    own = [T.StructField("payload", T.BinaryType()), T.StructField("n_frames", T.LongType()), T.StructField("segments", T.ArrayType(span)), T.StructField("tensors", T.BinaryType())]
+    no_clash(stored.columns, [f.name for f in own])
     arrow_spans = pa.list_(pa.struct([("start_us", pa.int64()), ("end_us", pa.int64())]))
-    names = [f.name for f in carry + own]
+    names, at_media = [*stored.columns, *[f.name for f in own]], stored.columns.index("media")
 
-    def describe(batches):
+    def read(batches):
         for batch in batches:
-            raw = batch.column(len(carry))
+            files = batch.column(at_media)
             at = 0
-            while at < len(raw):
+            while at < len(files):
                 start, size, made = at, 0, []
-                while at < len(raw) and size < bytes_per_batch:
-                    media = wav(raw[at].as_py() or b"", spec.rate)
+                while at < len(files) and size < bytes_per_batch:
+                    media = files[at].as_py()
                     back = samples(media)
-                    made.append((media, back, *features(back, spec)))
+                    made.append((back, *features(back, spec)))
                     size += 3 * len(media)
                     at += 1
-                media, back, frames, loud, body = zip(*made, strict=True)
-                yield pa.RecordBatch.from_arrays([*[c.slice(start, at - start) for c in batch.columns[: len(carry)]], pa.array(media, pa.binary()), pa.array(back, pa.binary()), pa.array(frames, pa.int64()), pa.array(loud, arrow_spans), pa.array(body, pa.binary())], names=names)
+                back, frames, loud, body = zip(*made, strict=True)
+                yield pa.RecordBatch.from_arrays([*[c.slice(start, at - start) for c in batch.columns], pa.array(back, pa.binary()), pa.array(frames, pa.int64()), pa.array(loud, arrow_spans), pa.array(body, pa.binary())], names=names)
 
-    return rows.select(*[f.name for f in carry], payload).mapInArrow(describe, T.StructType(carry + own))
+    return stored.mapInArrow(read, T.StructType([*stored.schema.fields, *own]))
+
+
+def store_and_describe(rows: DataFrame, *, payload: str = "payload", spec: AudioSpec | None = None, bytes_per_batch: int = 8 << 20) -> DataFrame:
+    """All columns of ``rows`` but the payload, then media, payload (read back from media), n_frames, segments, tensors."""
+    no_clash([c for c in rows.columns if c != payload], ["payload", "n_frames", "segments", "tensors"])
+    return describe(store(rows, payload=payload, spec=spec), spec=spec, bytes_per_batch=bytes_per_batch)

@@ -23,6 +23,7 @@ def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+        F.col("n_frames"), F.col("segments").alias("loud_spans"), F.col("tensors").alias("log_mel"),
     )
 
 
