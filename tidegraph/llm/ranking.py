@@ -6,11 +6,13 @@ A document's rank score is w . x.  The decision threshold is the quantile of the
 it the share of good labels in training; the reported score is a sigmoid around that threshold.
 
 The training set is bounded: at most ``max_labelled`` rows, those with the least md5 of their id (parameter), and
-``pairs_per_row`` opponents for each (of ids that repeat in the documents, at most four times as many rows in all);
+``pairs_per_row`` opponents for each (repeated rows count once; of ids that stand for several texts, at most four times
+as many rows in all);
 scoring covers every row.  Features are computed in Arrow batches from the text
-alone.  Defined results: null text is the empty text and has a score; rows that share an id are scored each; labels
-that are null, or without both classes, raise ValueError in training (there is nothing to rank); labels of ids that
-are not in the documents are passed over; an empty documents table gives an empty result.
+alone.  Defined results: null text is the empty text and has a score; rows that share an id are scored each, equal
+texts and ties alike; texts may be of any length; null labels and labels of ids that are not in the documents are passed
+over; without labelled documents of both classes there is nothing to rank, and every score is 0.5; an empty documents
+table gives an empty result; an id column named like an output column raises ValueError, other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegraph.llm.common import no_clash
 from tidegraph.llm.rules import STOP_WORDS
 
 _STOP = {w.encode() for w in STOP_WORDS}
@@ -92,6 +95,11 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip((self.rank(x) - self.threshold) / self.temperature, -500, 500)))
 
 
+def unranked(width: int) -> Ranker:
+    """The model of no pairs: every score is 0.5."""
+    return Ranker(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0)
+
+
 def fit_pairs(x: np.ndarray, y: np.ndarray, *, pairs_per_row: int = 20, ridge: float = 1e-3, steps: int = 30, seed: int = 11) -> Ranker:
     """Fit by Newton's method on the pairwise logistic loss."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
@@ -131,25 +139,29 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, *, pairs_per_row: int = 20, ridge: f
 
 def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = 20_000, **options) -> Ranker:
     """Fit on at most ``max_labelled`` labelled documents: those with the least md5 of their id."""
-    order = F.md5(F.concat(F.lit("rank|"), F.col(id_column).cast("string")))
-    chosen = labels.filter(F.col(label).isin(0, 1) & F.col(id_column).isNotNull()).select(id_column, F.col(label).cast("int").alias("__y"))
-    chosen = chosen.orderBy(order, "__y").limit(max_labelled)
-    rows = docs.select(id_column, F.col(text).alias("__text")).join(F.broadcast(chosen), id_column)
+    order = F.md5(F.concat(F.lit("rank|"), F.col("id").cast("string")))
+    chosen = labels.filter(F.col(label).isin(0, 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("y"))
+    chosen = chosen.orderBy(order, "y").limit(max_labelled)
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("body")).join(F.broadcast(chosen), "id")
 
     def compute(batches):
         for batch in batches:
             body = batch.column(0).cast(pa.binary()).to_pylist()
             x = [features_of(b or b"") for b in body]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
-
-    found = rows.select("__text", "__y").mapInArrow(compute, "x array<double>, y int").orderBy("y", "x").limit(4 * max_labelled).toArrow()
-    y = found.column("y").to_numpy()
-    x = np.array(found.column("x").to_pylist(), np.float64).reshape(len(y), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), *batch.columns[1:]], names=["x", "y", "at"])
+
+    # in an order by a hash of id and text: where ids repeat so often that rows are cut, both classes are cut alike
+    rows = rows.select("body", "y", F.md5(F.concat_ws("|", F.col("id").cast("string"), F.coalesce("body", F.lit("")))).alias("at"))
+    found = rows.mapInArrow(compute, "x array<double>, y int, at string").dropDuplicates(["at", "y"]).orderBy("at", "y", "x").limit(4 * max_labelled).toArrow()
+    y, x = found.column("y").to_numpy(), np.array(found.column("x").to_pylist(), np.float64)
+    if len(set(y.tolist())) < 2:
+        return unranked(len(features_of(b"")))
     return fit_pairs(x, y, **options)
 
 
 def score(docs: DataFrame, model: Ranker, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score, predicted) of every row."""
+    no_clash([id_column], ["score", "predicted"])
     schema = T.StructType([docs.schema[id_column], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def compute(batches):
