@@ -2,12 +2,16 @@
 
 Measures are built-in expressions over the whole text.  A rule is a row of :data:`RULES`; :func:`compile_rules`
 turns the table into one boolean column per rule.  Defined results: a null text counts as the empty text, which
-has no word and fails ``min_words``; repeated rows each get their own result; an empty table gives an empty result.
+has no word and fails ``min_words``; repeated rows each get their own result; an empty table gives an empty result;
+texts may be of any length; a measure equal to its threshold passes.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from fractions import Fraction
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +31,11 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Rule:
-    """A document passes if ``numerator <= at_most * denominator`` (or ``>= at_least``), from ``min_words`` words on."""
+    """A document passes if ``numerator <= at_most * denominator`` (or ``>= at_least``), from ``min_words`` words on.
+
+    Thresholds are taken as the decimal numbers they are written as, and compared in whole numbers.  A document that
+    fails one of the ``base`` rules has ``base_failed``.
+    """
 
     name: str
     numerator: str
@@ -35,12 +43,13 @@ class Rule:
     at_least: float | None = None
     at_most: float | None = None
     min_words: int = 0
+    base: bool = False
 
 
-#: The production table.  The first two rules are the base rules.
+#: The production table.
 RULES = (
-    Rule("min_words", "n_words", at_least=10),
-    Rule("repeat_words", "n_repeat_words", "n_words", at_most=0.2),
+    Rule("min_words", "n_words", at_least=10, base=True),
+    Rule("repeat_words", "n_repeat_words", "n_words", at_most=0.2, base=True),
     Rule("symbols", "n_symbols", "n_words", at_most=0.25),
     Rule("exclamations", "n_bangs", "n_words", at_most=0.25),
     Rule("capitals", "n_upper", "n_letters", at_most=0.5),
@@ -49,7 +58,6 @@ RULES = (
     Rule("duplicate_lines", "n_dup_lines", "n_lines", at_most=0.5),
     Rule("stop_words", "n_stop_words", "n_words", at_least=0.02, min_words=50),
 )
-BASE_RULES = ("min_words", "repeat_words")
 
 
 def words_of(text: Column) -> Column:
@@ -114,9 +122,11 @@ def compile_rules(rules=RULES) -> dict[str, Column]:
         a, b = F.col(r.numerator), F.col(r.denominator) if r.denominator else F.lit(1)
         good = F.lit(True)
         if r.at_least is not None:
-            good = good & (a >= r.at_least * b)
+            least = Fraction(str(r.at_least))
+            good = good & (a * least.denominator >= b * least.numerator)
         if r.at_most is not None:
-            good = good & (a <= r.at_most * b)
+            most = Fraction(str(r.at_most))
+            good = good & (a * most.denominator <= b * most.numerator)
         out[r.name] = good | (F.col("n_words") < r.min_words) if r.min_words else good
     return out
 
@@ -134,17 +144,14 @@ def apply_rules(docs: DataFrame, *, text: str = "text", carry=("doc_id",), rules
     split = docs.select(*carry, own.alias("__text"), words_of(own).alias("__words"))
     measured = split.select(*carry, *[c.alias(n) for n, c in measures(F.col("__text"), F.col("__words")).items()])
     passed = compile_rules(rules)
-    # 100 * n_repeat_words > 20 * n_words in whole numbers, not in floating point
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    failed = F.filter(F.array(*[F.when(~c, F.lit(n)) for n, c in passed.items() if n not in BASE_RULES]), lambda x: x.isNotNull())
-    return measured.withColumn("base_failed", base).withColumn("failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.size("failed") == 0)
-    )
+    base = ~reduce(and_, [passed[r.name] for r in rules if r.base], F.lit(True))
+    failed = F.filter(F.array(F.lit(None).cast("string"), *[F.when(~passed[r.name], F.lit(r.name)) for r in rules if not r.base]), lambda x: x.isNotNull())
+    return measured.withColumn("base_failed", base).withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
 
 def keep_good(docs: DataFrame, *, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``docs``, with all their columns, that pass every rule."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__body"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text}`").alias("__body"))
     judged = apply_rules(row, text="__body", carry=("__row",), rules=rules)
     # the row number keeps the filter above the projection; pushed below it, the measures would be computed twice
     kept = judged.withColumn("__at", F.monotonically_increasing_id()).filter("kept and __at >= 0")
