@@ -1,4 +1,12 @@
-"""The training-data pipeline: each stage is one operator of tidegraph.llm over what its predecessor kept."""
+"""The training-data pipeline: each stage is one operator of tidegraph.llm over what its predecessor kept.
+
+Defined results: null text counts as empty and, like an empty one, fails the quality rules; of repeated rows, and of
+rows that share an id and a text, one is left by the Jaccard stage; rows that share an id with different texts go on
+as documents of their own, and share their Poisson draw; a null id is an id like any other; an empty table gives no
+piece; texts may be of any length; extra columns of any names go along to the last stage, which returns its own.
+Packing comes after mixing, so it is packing's scattered numbering that keeps copies of a document and documents of a
+length apart in the order of sequences.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +33,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its Poisson draw says, shuffled; copies keep their doc_id."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.replicate(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
