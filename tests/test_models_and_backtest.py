@@ -8,6 +8,7 @@ from tidegraph.operators.backtest.engine import Account, execute, walk
 from tidegraph.operators.backtest.parts import L2Feed, Market, best_level, cost_eps
 from tidegraph.operators.models import estimators as E
 from tidegraph.operators.models.walk import walk_forward
+from tidegraph.plans.graph import Graph
 from tidegraph.plans.node import Node
 
 
@@ -71,8 +72,8 @@ def test_early_stopping():
 
 
 def test_schedulers_and_splitter():
-    assert A.parse_scheduler({"any": [{"every": 5}, {"metric": {"name": "mse", "threshold": 1, "check_every": 3}}]}).decide(3, 100, {"mse": 2}).retrain
-    assert not A.FrozenScheduler().decide(0, 10, None).retrain
+    assert A.parse_scheduler({"any": [{"every": 5}, {"metric": {"name": "mse", "threshold": 1, "check_every": 3}}]}).decide(3, 100, 3, {"mse": 2}).retrain
+    assert not A.FrozenScheduler().decide(0, 10, 0, None).retrain
     assert [s.stop for s in A.ChronologicalSplitter(0.2, 0.1, gap=2, purge_window=5).split(105)] == [66, 88, 100]
     with pytest.raises(E.FitError):
         A.ChronologicalSplitter(purge_window=10).split(5)
@@ -81,6 +82,91 @@ def test_schedulers_and_splitter():
             A.parse_scheduler(bad)
 
 
+def brute_retrains(declared, rows, errors):
+    """Rows at which a walk retrains, by counting row by row; ``errors(row)`` is the error of a trained model."""
+    out, since, looked, begun = [], 0, 0, 0
+    every, metric = declared.get("every"), declared.get("metric")
+    for row in range(rows):
+        boundary = row == 0 or (every and since and since % every == 0) or (metric and looked == metric["check_every"])
+        if boundary:
+            segment = [errors(r) for r in range(begun, row)] if out else []
+            due = row > 0 and ((every and since >= every) or (metric and segment and sum(segment) / len(segment) > metric["threshold"]))
+            if due:
+                out.append(row)
+                since = 0
+            looked, begun = 0, row
+        since, looked = since + 1, looked + 1
+    return out
+
+
+def pair_sum(x):
+    return Node(A.Spread, {"left": x, "right": Node(A.Negate, {"x": x}, {"input_column": "x", "output_column": "n"}).n}, {"left_column": "left", "right_column": "right", "output_column": "out"}).out
+
+
+def test_schedulers_against_a_row_by_row_count():
+    class Spy:
+        def __init__(self):
+            self.rows = []
+
+        def fit(self, x, y, xv, yv, seed):
+            self.rows.append(len(x) + len(xv))
+            return self
+
+        def predict(self, x):
+            return np.zeros((len(x), 1))
+
+    r = np.random.default_rng(8)
+    y = r.normal(size=(2000, 1)) * np.repeat(r.choice([0.1, 3], 40), 50)[:, None]
+    for every, metric in ((100, None), (2500, {"threshold": 1.0, "check_every": 50}), (300, {"threshold": 1.0, "check_every": 70}), (250, {"threshold": 1e12, "check_every": 50}), (90, {"threshold": -1.0, "check_every": 40})):
+        declared = [{"every": every}] + ([{"metric": {"name": "mse", **metric}}] if metric else [])
+        spy = Spy()
+        walk_forward(np.zeros((2000, 1)), y, spy, A.parse_scheduler({"any": declared}), A.ChronologicalSplitter(), 0)
+        assert spy.rows == brute_retrains({"every": every, "metric": metric}, 2000, lambda i: float(y[i, 0]) ** 2), (every, metric)
+    with pytest.raises(ValueError):
+        A.AnyScheduler(())
+
+
+def test_inference_runs_after_its_trainer(spark, tmp_path):
+    x = series([float(i) for i in range(40)], name="x")
+    pack = lambda o, n: Node(A.FeaturePacker, {"x": o}, {"input_columns": ("x",), "output_column": n}).output(n)
+    double = pair_sum(x.x)
+    features, target = pack(x.x, "f"), pack(double, "t")
+    where = {"store_path": str(tmp_path / "store")}
+    fit = Node(A.TrainLinear, {"features": features, "target": target}, where, name="fit")
+    # an inference node's id may sort before or after the trainer's: the order must not depend on it
+    for k in range(4):
+        infer = Node(A.Infer, {"features": features}, {**where, "group": "default", "target_width": 1}, name=f"n{k}")
+        graph = Graph([infer, fit])
+        order = [n.name for n in graph.nodes]
+        assert order.index("fit") < order.index(f"n{k}")
+        out = graph.execute(spark)[infer.id].collect()
+        assert [r["prediction"][0] for r in out] == pytest.approx([2.0 * i for i in range(40)])
+    other = Node(A.TrainLinear, {"features": features, "target": target}, {**where, "l2": 1.0}, name="again")
+    assert [i.code for i in Graph.validate([fit, other])] == ["MULTIPLE_TRAINERS"]
+    assert not Graph.validate([fit, Node(A.TrainLinear, {"features": features, "target": target}, {**where, "group": "b"})])
+    pinned, frozen = A.Infer(model_id="m"), A.Infer(frozen=True)
+    assert pinned.infers() is None and frozen.infers() is None and A.Infer().infers() == ("", "default")
+    with pytest.raises(ValueError):
+        A.Infer(model_id="")
+
+
+def test_kelly_and_reasons():
+    from types import SimpleNamespace
+
+    from tidegraph.operators.backtest import parts
+
+    p, a = np.array([0.6, 0.5, 0.2, 0.9, 0.7]), np.array([0.5, 0.5, 0.4, 1.0, 0.1])
+    row = SimpleNamespace(signal=p, ask=a, equity=1000.0, cash=1000.0)
+    got = parts.FractionalKelly(0.5).limit(row, np.zeros(5))
+    # the stake that makes the expected logarithm of wealth largest, by search
+    for i in range(5):
+        f = np.linspace(0, 0.9999, 200_001)
+        growth = p[i] * np.log1p(f * (1 - a[i]) / a[i]) + (1 - p[i]) * np.log1p(-f) if a[i] < 1 else -f
+        assert got[i] == pytest.approx(0.5 * 1000 * f[np.argmax(growth)] / a[i], abs=0.5 / a[i])
+    reasons = [parts.classify_reason(x, y) for x, y in (([1.0, 2.0], [1.0, 2.0]), ([1.0, 2.0], [1.0, 1.0]), ([1.0, 2.0], [0.0, 0.0]), ([0.0], [0.0]))]
+    assert reasons == [parts.RiskReason.NO_CHANGE, parts.RiskReason.CLAMPED, parts.RiskReason.ZEROED, parts.RiskReason.NO_CHANGE]
+
+
 def test_walk_forward_sees_only_the_past():
     x, y = data()
     out = walk_forward(x, y, E.LinearRegression(), A.EveryNTicksScheduler(100), A.ChronologicalSplitter(), 0)

@@ -6,6 +6,7 @@ Most run on ``events`` (one row per time) through a graph; floating-point result
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegraph import api as A
-from tidegraph.plans.graph import Executor
+from tidegraph.plans.frames import shared_folder
+from tidegraph.plans.graph import Executor, Graph
 from tidegraph.plans.node import Node, Output
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +110,17 @@ _ONE = {
     "transform_rolling_quantile": (A.RollingQuantile, "value", {"periods": 20, "min_samples": 5, "quantile": 0.25}, _gate(f"quantile_cont(value, 0.25) {_W20}")),
     "transform_rolling_quantile_lower": (A.RollingQuantile, "value", {"periods": 20, "min_samples": 5, "quantile": 0.3, "interpolation": "lower"}, _gate(f"list_sort(list(value) {_W20})[floor((count(value) {_W20} - 1) * 0.3)::BIGINT + 1]")),
     "transform_rolling_z_score": (A.RollingZScore, "value", {"periods": 20, "min_samples": 5}, _gate(f"(value - avg(value) {_W20}) / stddev_samp(value) {_W20}")),
+    "transform_rolling_var_ddof_1": (A.RollingVar, "step", {"periods": 20, "min_samples": 5, "ddof": 1}, _gate(f"var_samp(step) {_W20}", "step")),
+    "transform_rolling_quantile_higher": (A.RollingQuantile, "value", {"periods": 20, "min_samples": 5, "quantile": 0.3, "interpolation": "higher"}, _gate(f"list_sort(list(value) {_W20})[ceil((count(value) {_W20} - 1) * 0.3)::BIGINT + 1]")),
+    "transform_rolling_quantile_midpoint": (
+        A.RollingQuantile, "value", {"periods": 20, "min_samples": 5, "quantile": 0.3, "interpolation": "midpoint"},
+        _gate(f"(list_sort(list(value) {_W20})[floor((count(value) {_W20} - 1) * 0.3)::BIGINT + 1] + list_sort(list(value) {_W20})[ceil((count(value) {_W20} - 1) * 0.3)::BIGINT + 1]) / 2"),
+    ),
+    "transform_rolling_quantile_nearest": (A.RollingQuantile, "value", {"periods": 20, "min_samples": 5, "quantile": 0.3, "interpolation": "nearest"}, _gate(f"list_sort(list(value) {_W20})[round((count(value) {_W20} - 1) * 0.3)::BIGINT + 1]")),
+    "transform_rolling_quantile_equiprobable": (A.RollingQuantile, "value", {"periods": 20, "min_samples": 5, "quantile": 0.3, "interpolation": "equiprobable"}, _gate(f"list_sort(list(value) {_W20})[ceil(count(value) {_W20} * 0.3)::BIGINT]")),
+    "transform_rolling_percentile_rank_min": (A.RollingPercentileRank, "value", {"periods": 20, "min_samples": 5, "method": "min"}, _gate(f"len(list_filter(list(value) {_W20}, lambda v: v < value)) / (count(value) {_W20} - 1)")),
+    "transform_rolling_percentile_rank_max": (A.RollingPercentileRank, "value", {"periods": 20, "min_samples": 5, "method": "max"}, _gate(f"(len(list_filter(list(value) {_W20}, lambda v: v <= value)) - 1) / (count(value) {_W20} - 1)")),
+    "transform_rolling_percentile_rank_dense": (A.RollingPercentileRank, "value", {"periods": 20, "min_samples": 5, "method": "dense"}, _gate(f"len(list_distinct(list_filter(list(value) {_W20}, lambda v: v < value))) / (count(value) {_W20} - 1)")),
     "transform_rolling_percentile_rank": (
         A.RollingPercentileRank, "value", {"periods": 20, "min_samples": 5},
         _gate(f"((len(list_filter(list(value) {_W20}, lambda v: v < value)) + 1 + len(list_filter(list(value) {_W20}, lambda v: v <= value))) / 2.0 - 1) / (count(value) {_W20} - 1)"),
@@ -184,6 +197,17 @@ def ewm_std(spark, sf_dir):
     return rounded(Executor(spark).table({"out": apply(A.EwmStd, events(sf_dir).value, alpha=0.1)}), 4)
 
 
+@register(
+    "transform_ewm_mean_recursive",
+    """WITH RECURSIVE e AS (SELECT ts, value, row_number() OVER (ORDER BY ts) AS i FROM events),
+r AS (SELECT i, ts, value AS m FROM e WHERE i = 1 UNION ALL SELECT e.i, e.ts, r.m * 0.75 + 0.25 * e.value FROM r JOIN e ON e.i = r.i + 1)
+SELECT ts, round(m, 6) AS out FROM r""",
+)
+def ewm_mean_recursive(spark, sf_dir):
+    """Without adjustment: each mean is the one before, faded, and the new value."""
+    return table(spark, out=apply(A.EwmMean, events(sf_dir).value, alpha=0.25, adjust=False))
+
+
 @register("delta_t", "SELECT ts, epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts)) AS out FROM events")
 def delta_time(spark, sf_dir):
     return Executor(spark).table({"out": events(sf_dir).output("delta_t")})
@@ -358,13 +382,39 @@ def data_frame(spark, sf_dir):
     return Executor(spark).table({"region": Node(A.DataFrameSource, config=source).region})
 
 
-@register("perturb_block_permute")
+#: SplitMix64 in wide whole numbers, the swaps of a Fisher-Yates shuffle of the blocks, and the rows where they come to lie.
+_PERMUTED = """WITH RECURSIVE e AS (SELECT ts, value, epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts)) AS gap, row_number() OVER (ORDER BY ts) - 1 AS i FROM events),
+c AS (SELECT count(*) AS n, ceil(count(*) / 16.0)::BIGINT AS blocks FROM e),
+s AS (SELECT k, ((42::UHUGEINT + k::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM c, range(1, blocks) AS x(k)),
+s1 AS (SELECT k, ((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM s),
+s2 AS (SELECT k, ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM s1),
+d AS (SELECT k, blocks - k AS place, (xor(z, z >> 31) % (blocks - k + 1)::UBIGINT)::BIGINT AS other FROM s2, c),
+p AS (SELECT 0::BIGINT AS k, range(0, blocks) AS o FROM c
+  UNION ALL SELECT d.k, list_transform(range(0, len(o)), lambda j: CASE WHEN j = place THEN o[other + 1] WHEN j = other THEN o[place + 1] ELSE o[j + 1] END) FROM p JOIN d ON d.k = p.k + 1),
+f AS (SELECT unnest(o) AS b, unnest(range(0, len(o))) AS at FROM p WHERE k = (SELECT blocks - 1 FROM c)),
+g AS (SELECT value, gap, row_number() OVER (ORDER BY f.at, e.i) - 1 AS i FROM e JOIN f ON f.b = e.i // 16)
+SELECT e.ts, {columns} FROM e JOIN g USING (i)"""
+
+
+@register("perturb_block_permute", _PERMUTED.format(columns="round(g.value, 6) AS out"))
 def block_permute(spark, sf_dir):
     return table(spark, out=Node(A.BlockPermute, {"value": events(sf_dir).value}, {"block_length": 16, "seed": 42}).value)
 
 
+@register("perturb_delta_t", _PERMUTED.format(columns="g.gap AS gap, round(abs(g.value), 6) AS out"))
+def permuted_delta_t(spark, sf_dir):
+    """The time since the row before goes with its row, and on through a chain of single parents."""
+    moved = Node(A.BlockPermute, {"value": events(sf_dir).value}, {"block_length": 16, "seed": 42})
+    chained = Node(A.Abs, {"value": moved.value}, {"input_column": "value", "output_column": "out"})
+    df = Executor(spark).table({"gap": chained.output("delta_t"), "out": chained.out})
+    return df.select("ts", "gap", F.round("out", 6).alias("out"))
+
+
 # models
 
+#: Rows between trainings of the models that are dear to fit: several times in the smallest table.
+EVERY = 400
+
 
 def _features(sf_dir, width: int = 1):
     value = events(sf_dir).value
@@ -407,22 +457,45 @@ def logistic(spark, sf_dir):
 
 @register("model_light_gbm")
 def boosting(spark, sf_dir):
-    return _predict(spark, sf_dir, A.LightGBM, scheduler={"every": 5000}, num_boost_round=10)
+    return _predict(spark, sf_dir, A.LightGBM, scheduler={"every": EVERY})
 
 
 @register("model_dense_mlp")
 def mlp(spark, sf_dir):
-    return _predict(spark, sf_dir, A.DenseMLP, scheduler={"every": 5000}, hidden_layers=(8,), epochs=10)
+    return _predict(spark, sf_dir, A.DenseMLP, scheduler={"every": EVERY}, hidden_layers=(8,))
 
 
 @register("model_cnn1d")
 def cnn(spark, sf_dir):
-    return _predict(spark, sf_dir, A.CNN1D, scheduler={"any": [{"every": 5000}, {"metric": {"name": "mse", "threshold": 1e12}}]}, sequence_length=8, epochs=2)
+    return _predict(spark, sf_dir, A.CNN1D, scheduler={"any": [{"every": EVERY}, {"metric": {"name": "mse", "threshold": 1e12}}]}, sequence_length=8, epochs=10)
+
 
+@register("model_any_scheduler", _OLS)
+def any_scheduler(spark, sf_dir):
+    """A metric that is never reached leaves the fixed interval alone, however often it is looked at."""
+    return _predict(spark, sf_dir, A.LinearRegression, 1, scheduler={"any": [{"every": 500}, {"metric": {"name": "mse", "threshold": 1e12, "check_every": 120}}]})
 
-@register("model_metric_scheduler")
+
+@register("model_metric_scheduler", _OLS.replace("k * 500", "k * 250").replace("range(1, (SELECT count(*) // 500 + 1 FROM g))", "range(2, (SELECT count(*) // 250 + 1 FROM g))").replace("(g.i // 500) * 500", "(g.i // 250) * 250"))
 def metric_scheduler(spark, sf_dir):
-    return _predict(spark, sf_dir, A.LinearRegression, 1, scheduler={"any": [{"every": 2500}, {"metric": {"name": "mse", "threshold": 100.0, "check_every": 500}}]})
+    """A metric that is always exceeded: retrained at each look, once the fixed interval has brought the first model."""
+    return _predict(spark, sf_dir, A.LinearRegression, 1, scheduler={"any": [{"every": 500}, {"metric": {"name": "mse", "threshold": 0.0, "check_every": 250}}]})
+
+
+_FIT = """WITH f AS (SELECT ts, value AS y, lag(value) OVER (ORDER BY ts) AS x FROM events), m AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS a FROM f WHERE x IS NOT NULL)
+SELECT ts, round(a + s * x, 6) AS prediction FROM f, m WHERE x IS NOT NULL"""
+
+
+@register("model_train_infer", _FIT)
+def train_infer(spark, sf_dir):
+    """One graph that trains and infers: the inference finds the model that the same run has trained."""
+    features, target = _features(sf_dir)
+    store = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    fit = Node(A.TrainLinear, {"features": features, "target": target}, {"store_path": store}, null_policies={"features": "drop", "target": "drop"}, name="fit")
+    infer = Node(A.Infer, {"features": features}, {"store_path": store}, null_policies={"features": "drop"}, name="infer")
+    flat = Node(A.FeatureUnpacker, {"features": infer.prediction}, {"base_name": "p"}, name="flat")
+    out = Graph([fit, flat]).execute(spark)[flat.id]
+    return out.select("ts", F.round("p_0", 6).alias("prediction"))
 
 
 # the backtest
@@ -526,7 +599,11 @@ def chunked(spark, sf_dir):
     return rounded(Executor(spark, chunking=A.Chunking(above=500, rows=300)).table({"out": out}))
 
 
-@register("chart_downsample")
+@register(
+    "chart_downsample",
+    """WITH e AS (SELECT ts, value, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM events)
+SELECT ts, value FROM e WHERE n <= 200 OR i IN (SELECT ceil(k * (SELECT max(n) - 1 FROM e) / 199.0)::BIGINT FROM range(0, 200) AS x(k))""",
+)
 def chart(spark, sf_dir):
     from tidegraph.plans.charts import downsample
 
