@@ -163,3 +163,71 @@ def test_parameters_are_checked():
     for op, bad in ((A.RollingMean, {"periods": 0}), (A.RollingMean, {"periods": 2, "min_samples": 3}), (A.RollingVar, {"ddof": 3}), (A.Clip, {}), (A.Clip, {"lower": 2.0, "upper": 1.0}), (A.Power, {"exponent": INF}), (A.EwmMean, {"alpha": 0.0}), (A.RollingQuantile, {"quantile": 2.0}), (A.RollingMean, {"window": 20})):
         with pytest.raises(ValueError):
             op.build(bad)
+
+
+def brute_ewm(values, alpha, adjust, least, std):
+    """Weighted sums written out for each row."""
+    out = []
+    for i in range(len(values)):
+        known = [k for k in range(i + 1) if values[k] is not None]
+        weights = [(1 - alpha) ** (i - k) * (1.0 if adjust or k == known[0] else alpha) for k in known]
+        w, w2 = sum(weights), sum(v * v for v in weights)
+        if len(known) < max(2 if std else 1, least) or not w or (std and w * w <= w2):
+            out.append(None)
+            continue
+        mean = sum(v * values[k] for v, k in zip(weights, known, strict=True)) / w
+        var = sum(v * (values[k] - mean) ** 2 for v, k in zip(weights, known, strict=True)) / w
+        out.append(math.sqrt(var * w * w / (w * w - w2)) if std else mean)
+    return out
+
+
+@pytest.mark.parametrize("rows", [1000, 17])
+def test_ewm_against_weights(spark, rows, monkeypatch):
+    from tidegraph.operators import ordered
+
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", rows)
+    r = np.random.default_rng(4)
+    values = [None if r.random() < 0.2 else float(v) for v in 100 + r.normal(size=60)]
+    for alpha, adjust, least in ((0.1, True, 1), (0.3, False, 3), (0.95, False, 1), (1.0, True, 1)):
+        for op in (A.EwmMean, A.EwmStd):
+            if alpha == 1.0 and op is A.EwmStd:
+                continue
+            got = column(spark, apply(op, series(values), alpha=alpha, adjust=adjust, min_samples=least))
+            same(got, brute_ewm(values, alpha, adjust, least, op is A.EwmStd))
+
+
+def test_recurrence_is_the_loop():
+    from tidegraph.operators.ordered import recurrence
+
+    r = np.random.default_rng(2)
+    for fade in (0.0, 0.01, 0.5, 0.9, 0.9999, 1.0):
+        for n in (0, 1, 7, 5000):
+            added, y, want = r.normal(size=n), 3.0, []
+            for v in added.tolist():
+                y = fade * y + v
+                want.append(y)
+            assert recurrence(added, fade, 3.0 if fade else 0.0) == pytest.approx(want if fade else added.tolist(), rel=1e-9, abs=1e-9)
+
+
+def test_windows_longer_than_a_chunk(spark):
+    values = [float(i % 13) for i in range(60)]
+    node = apply(A.RollingMean, series(values), periods=25)
+    assert column(spark, node, chunking=A.Chunking(above=10, rows=7)) == pytest.approx(column(spark, node), nan_ok=True)
+
+
+def test_permuted_delta_t_goes_on_to_single_parents_only(spark):
+    x = series([float(i) for i in range(12)], at=[0, 1, 3, 6, 10, 15, 21, 28, 36, 45, 55, 66])
+    moved = A.Node(A.BlockPermute, {"value": x.value}, {"block_length": 2, "seed": 5})
+    gaps = {None if i is None else float(i): g for i, g in zip(range(12), column(spark, x.output("delta_t")), strict=True)}
+    chained = apply(A.Abs, apply(A.Negate, moved))
+    for node in (moved, chained.node):
+        df = Executor(spark).table({"gap": node.output("delta_t"), "v": node.output("value" if node is moved else "out")}).orderBy("timestamp").collect()
+        assert [r["gap"] for r in df] == [gaps[r["v"]] for r in df]
+    again = A.Node(A.BlockPermute, {"value": moved.value}, {"block_length": 3, "seed": 1})
+    twice = Executor(spark).table({"gap": again.output("delta_t"), "v": again.value}).collect()
+    assert [r["gap"] for r in twice] == [gaps[r["v"]] for r in twice]
+    other = series([1.0, 2.0], at=[2, 70], name="o")
+    both = A.Node(A.Spread, {"left": moved.value, "right": other.o}, {"left_column": "left", "right_column": "right", "output_column": "out"})
+    anew = [r["gap"] for r in Executor(spark).table({"gap": both.output("delta_t"), "v": both.out}).orderBy("timestamp").collect()]
+    at = [0, 1, 2, 3, 6, 10, 15, 21, 28, 36, 45, 55, 66, 70]
+    assert anew == [None] + [(b - a) * 60_000_000 for a, b in zip(at, at[1:], strict=False)]

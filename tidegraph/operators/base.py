@@ -40,6 +40,8 @@ class Operator:
     BATCH = LOOKAHEAD = False
     #: Inputs whose null policy is "error" unless said otherwise.
     STRICT = False
+    #: A BATCH operator that deals rows to other times, and delta_t with them: its ``run`` gets and gives that column too.
+    MOVES_ROWS = False
     #: Parameters that are no part of the operator's identity.
     EXCLUDED: tuple[str, ...] = ()
 
@@ -65,6 +67,14 @@ class Operator:
         """One Column for each output, from the inputs' Columns."""
         raise NotImplementedError
 
+    def trains(self) -> tuple[str, str] | None:
+        """(store, group) of the models that the operator adds, if it does."""
+        return None
+
+    def infers(self) -> tuple[str, str] | None:
+        """(store, group) whose latest model the operator looks up, if it does."""
+        return None
+
     def params(self) -> dict:
         return {f.name: getattr(self, f.name) for f in fields(self)} if is_dataclass(self) else {}
 

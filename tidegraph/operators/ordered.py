@@ -27,12 +27,31 @@ def in_chunks(df: DataFrame, t: str, rows: int) -> DataFrame:
     return out.withColumn(CHUNK, F.floor(F.col(INDEX) / F.lit(rows)))
 
 
+def recurrence(added: np.ndarray, fade: float, start: float) -> np.ndarray:
+    """y[i] = fade * y[i - 1] + added[i], from y[-1] = start."""
+    if fade == 0 or not len(added):
+        return added.astype(np.float64)
+    out = np.empty(len(added))
+    # inside a block, y is a running sum of what was added, blown up by powers of 1 / fade that stay small numbers
+    size = min(len(added), max(1, int(30 / -math.log2(fade))) if fade < 1 else len(added))
+    powers = fade ** np.arange(1, size + 1)
+    blocks = len(added) // size
+    inner = np.cumsum(added[: blocks * size].reshape(blocks, size) / powers, axis=1) * powers
+    for i, (row, last) in enumerate(zip(inner, inner[:, -1].tolist(), strict=True)):
+        out[i * size : (i + 1) * size] = row + start * powers
+        start = last + start * powers[-1]
+    for i in range(blocks * size, len(added)):
+        start = out[i] = fade * start + added[i]
+    return out
+
+
 @dataclass(frozen=True)
 class Ewm(Unary):
     """Exponentially weighted statistics over all rows so far; weights fall with every row, missing or not.
 
     The sums of weights and weighted powers are linear recurrences: each chunk is scanned on its own, chunk ends are
-    combined in a scan over one row per chunk, and a second scan of the chunks starts from there.
+    combined in a scan over one row per chunk, and a second scan of the chunks starts from there.  Up to CHUNK_ROWS rows
+    are one chunk, scanned once.
     """
 
     alpha: float = 0.1
@@ -56,35 +75,45 @@ class Ewm(Unary):
         raise NotImplementedError
 
     def run(self, df: DataFrame, t: str, kinds: dict, schema: T.StructType) -> DataFrame:
-        x, decay, alpha, adjust = self.input_column, 1 - self.alpha, self.alpha, self.adjust
-        center = df.agg(F.avg(F.when(~F.isnan(x), F.col(x)))).first()[0] or 0.0
-        own = staged(in_chunks(df.select(t, x), t, CHUNK_ROWS))
-        finish = self.finish
-        # the state: sums of w, w^2, w x, w x^2, the values so far, and 1 once there is a value
-        def scan(values: np.ndarray, s: list[float]) -> tuple[np.ndarray, np.ndarray, list[float]]:
-            out, seen = np.empty((len(values), 4)), np.empty(len(values))
-            w, w2, wx, wxx, n = s
-            for i, v in enumerate(values.tolist()):
-                w, w2, wx, wxx = w * decay, w2 * decay * decay, wx * decay, wxx * decay
-                if v == v:
-                    a = 1.0 if adjust or n == 0 else alpha
-                    v -= center
-                    w, w2, wx, wxx, n = w + a, w2 + a * a, wx + a * v, wxx + a * v * v, n + 1
-                out[i] = w, w2, wx, wxx
-                seen[i] = n
-            return out, seen, [w, w2, wx, wxx, n]
-
-        def ordered(g: pd.DataFrame) -> pd.DataFrame:
-            return g.sort_values(INDEX, kind="stable").reset_index(drop=True)
+        x, name, decay, alpha, adjust, finish = self.input_column, schema.names[1], 1 - self.alpha, self.alpha, self.adjust, self.finish
+        fades = np.array([decay, decay * decay, decay, decay])
+
+        def terms(values: np.ndarray, seen: int, center: float) -> tuple[np.ndarray, np.ndarray]:
+            """What each row adds to the sums of w, w^2, w x, w x^2; and the values so far."""
+            good = ~np.isnan(values)
+            weight = np.where(good, 1.0 if adjust else alpha, 0.0)
+            if not adjust and not seen and good.any():
+                weight[np.argmax(good)] = 1.0
+            v = np.where(good, values - center, 0.0)
+            return np.stack([weight, weight * weight, weight * v, weight * v * v], axis=1), seen + np.cumsum(good)
+
+        def result(g: pd.DataFrame, values: np.ndarray, center: float, state: np.ndarray, seen: int) -> pd.DataFrame:
+            added, n = terms(values, seen, center)
+            sums = np.stack([recurrence(added[:, k], fades[k], state[k]) for k in range(4)], axis=1)
+            value = finish(sums, n, center)
+            return pd.DataFrame({t: g[t], name: pd.Series(value, index=g.index).astype(object).where(value == value, None)})
+
+        numbers = lambda g: g[x].to_numpy(np.float64, na_value=np.nan)
+        rows = df.select(t, x)
+        if rows.count() <= CHUNK_ROWS:
+
+            def whole(g: pd.DataFrame) -> pd.DataFrame:
+                g = g.sort_values(t, kind="stable")
+                values = numbers(g)
+                center = float(np.nanmean(values)) if (values == values).any() else 0.0
+                return result(g, values, center, np.zeros(4), 0)
+
+            return rows.groupBy(F.lit("all")).applyInPandas(whole, schema)
+
+        own = staged(in_chunks(rows, t, CHUNK_ROWS))
+        center = own.agg(F.avg(F.when(~F.isnan(x), F.col(x)))).first()[0] or 0.0
 
         def ends(g: pd.DataFrame) -> pd.DataFrame:
-            g = ordered(g)
-            values = g[x].to_numpy(np.float64, na_value=np.nan)
-            first = np.flatnonzero(values == values)
+            g = g.sort_values(INDEX, kind="stable")
+            values, back = numbers(g), np.arange(len(g))[::-1]
             # as if values had come before (weight alpha), and as if none had (weight 1 for the first)
-            _, _, later = scan(values, [0.0, 0.0, 0.0, 0.0, 1.0])
-            _, _, fresh = scan(values, [0.0] * 5)
-            return pd.DataFrame([[g[CHUNK].iloc[0], len(g), len(first), *later[:4], *fresh[:4]]], columns=["c", "rows", "n", *[f"l{i}" for i in range(4)], *[f"f{i}" for i in range(4)]])
+            later, fresh = (((added := terms(values, seen, center)[0]) * fades ** back[:, None]).sum(axis=0) for seen in (1, 0))
+            return pd.DataFrame([[g[CHUNK].iloc[0], len(g), int((values == values).sum()), *later, *fresh]], columns=["c", "rows", "n", *[f"l{i}" for i in range(4)], *[f"f{i}" for i in range(4)]])
 
         kinds_of = "c long, rows long, n long, " + ", ".join(f"{k}{i} double" for k in "lf" for i in range(4))
 
@@ -93,21 +122,16 @@ class Ewm(Unary):
             state, n, out = np.zeros(4), 0, []
             for r in g.itertuples(index=False):
                 out.append((r.c, *state, n))
-                fade = decay**r.rows
-                add = np.array([r.f0, r.f1, r.f2, r.f3] if n == 0 else [r.l0, r.l1, r.l2, r.l3])
-                state = state * np.array([fade, fade * fade, fade, fade]) + add
+                state = state * fades**r.rows + np.array([r.f0, r.f1, r.f2, r.f3] if n == 0 else [r.l0, r.l1, r.l2, r.l3])
                 n += r.n
             return pd.DataFrame(out, columns=["c", "s0", "s1", "s2", "s3", "sn"])
 
         starts = own.groupBy(CHUNK).applyInPandas(ends, kinds_of).groupBy(F.lit("all")).applyInPandas(carry, "c long, s0 double, s1 double, s2 double, s3 double, sn long")
-        name = schema.names[1]
 
         def final(g: pd.DataFrame) -> pd.DataFrame:
-            g = ordered(g)
+            g = g.sort_values(INDEX, kind="stable")
             r = g.iloc[0]
-            state, n, _ = scan(g[x].to_numpy(np.float64, na_value=np.nan), [r.s0, r.s1, r.s2, r.s3, float(r.sn)])
-            value = finish(state, n, center)
-            return pd.DataFrame({t: g[t], name: pd.Series(value).astype(object).where(value == value, None)})
+            return result(g, numbers(g), center, np.array([r.s0, r.s1, r.s2, r.s3]), int(r.sn))
 
         joined = own.join(starts, own[CHUNK] == starts["c"]).drop("c")
         return joined.groupBy(CHUNK).applyInPandas(final, schema)
@@ -172,7 +196,7 @@ class BlockPermute(Operator):
     seed: int = 0
     timestamp_column: str = "timestamp"
 
-    BATCH = STRICT = True
+    BATCH = STRICT = MOVES_ROWS = True
 
     def __post_init__(self):
         object.__setattr__(self, "input_columns", tuple(self.input_columns))
@@ -203,5 +227,5 @@ class BlockPermute(Operator):
         starts = np.cumsum(lengths) - lengths
         table = df.sparkSession.createDataFrame(pd.DataFrame({"b": order, "s": starts}))
         payload = rows.withColumn("b", F.floor(F.col(INDEX) / F.lit(size))).join(table, "b")
-        payload = payload.select((F.col("s") + F.col(INDEX) % size).alias(INDEX), *self.input_columns)
+        payload = payload.select((F.col("s") + F.col(INDEX) % size).alias(INDEX), *[n for n in schema.names if n != t])
         return rows.select(INDEX, F.col("__t").alias(t)).join(payload, INDEX).select(*schema.names)

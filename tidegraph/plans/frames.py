@@ -38,12 +38,19 @@ class Chunking:
     rows: int = 500_000
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tidegraph-')}"
+
+
 def shared_folder(spark) -> str:
-    """spark.checkpoint.dir, or a folder of this session where none is set."""
+    """spark.checkpoint.dir; in local mode, where one machine is all, a folder of this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tidegraph-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or "cluster" in master:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _own_folder()
     return folder.rstrip("/")
 
 
@@ -92,9 +99,8 @@ class Timeline:
             self.df = self.df.withColumns(columns)
             return list(columns)
         back, ahead = halo
-        if max(halo) > self.chunking.rows:
-            raise ValueError("a window is longer than a chunk; raise Chunking.rows")
-        size, own = F.lit(self.chunking.rows), F.col(INDEX) % self.chunking.rows
+        rows = max(self.chunking.rows, *halo)  # a chunk's halo reaches no further than the chunk beside it
+        size, own = F.lit(rows), F.col(INDEX) % rows
         home = F.floor(F.col(INDEX) / size)
         places = F.array_compact(F.array(home, F.when(own >= size - back, home + 1), F.when(own < ahead, home - 1)))
         dealt = self.df.withColumn(CHUNK, F.explode(places))

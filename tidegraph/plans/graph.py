@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.plans.frames import TIME, Chunking, Frame, Timeline, align, any_null, delta_t, fill_null, source_frame
+from tidegraph.plans.frames import TIME, Chunking, Frame, Timeline, align, any_null, delta_t, fill_null, source_frame, staged
 from tidegraph.plans.node import Node, NullPolicy, Output
 from tidegraph.plans.storage import Store
 from tidegraph.plans.types import DTYPES, RESERVED
@@ -57,8 +57,25 @@ class Graph:
         if not self.terminals:
             issues.append(Issue("graph", "NO_TERMINALS", "no node is left over as a result"))
 
+        trainers, every, todo = {}, dict(members), list(members.values())
+        while todo:
+            for p in todo.pop().parents:
+                if p.id not in every:
+                    every[p.id] = p
+                    todo.append(p)
+        for n in sorted(every.values(), key=lambda n: n.id):
+            if (model := n.op.trains()) is not None:
+                if model in trainers:
+                    issues.append(Issue(n.label, "MULTIPLE_TRAINERS", f"{trainers[model].label} trains group {model[1]!r} already"))
+                trainers.setdefault(model, n)
+
+        # live inference comes after the trainer of its group, whose model it is to find
+        def before(n: Node) -> list[Node]:
+            trainer = trainers.get(n.op.infers())
+            return sorted([*n.parents, *([trainer] if trainer is not None else [])], key=lambda p: p.id)
+
         def visit(root: Node):
-            stack = [(root, iter(sorted(root.parents, key=lambda p: p.id)))]
+            stack = [(root, iter(before(root)))]
             state[root.id] = 1
             while stack:
                 node, parents = stack[-1]
@@ -67,7 +84,7 @@ class Graph:
                         issues.append(Issue(node.label, "CYCLE", f"leads back to {p.label}"))
                     elif p.id not in state:
                         state[p.id] = 1
-                        stack.append((p, iter(sorted(p.parents, key=lambda q: q.id))))
+                        stack.append((p, iter(before(p))))
                         break
                 else:
                     state[node.id] = 2
@@ -202,13 +219,22 @@ class Executor:
         line, columns = self._nulls(node, line, columns, kinds)
         outputs = [c.name for c in node.signature.columns]
         if op.BATCH:
-            return self._batch(node, line, columns, kinds)
+            return self._batch(node, line, columns, kinds, self._carried(wanted))
         if op.KIND == "metrics":
             df = op.reduce(line.df.select(TIME, *[F.col(c).alias(n) for n, c in columns.items()]), TIME)
             return Frame(Timeline(df.select(TIME, *outputs), self.chunking), {n: n for n in outputs})
         given = {n: F.col(c) for n, c in columns.items()}
         made = line.add(lambda over: op.columns(given, kinds, over), op.halo())
-        return Frame(line, dict(zip(outputs, made, strict=True)))
+        out = dict(zip(outputs, made, strict=True))
+        if carried := self._carried(wanted):
+            out[RESERVED] = carried
+        return Frame(line, out)
+
+    @staticmethod
+    def _carried(wanted) -> str | None:
+        """The delta_t column that a single parent hands on; where several meet, it is made anew from the union of times."""
+        found = {(f.line.serial, f.columns.get(RESERVED)) for f, _, _ in wanted}
+        return found.pop()[1] if len(found) == 1 else None
 
     def _nulls(self, node: Node, line: Timeline, columns: dict, kinds: dict):
         """DROP and FILL in the order of inputs, then ERROR and handlers over what is left."""
@@ -247,13 +273,19 @@ class Executor:
         out = Timeline(df.groupBy(F.lit("all")).applyInPandas(apply, schema), self.chunking)
         return out, {**columns, name: target}
 
-    def _batch(self, node: Node, line: Timeline, columns: dict, kinds: dict) -> Frame:
-        df = line.df.select(TIME, *[F.col(c).alias(n) for n, c in columns.items()])
+    def _batch(self, node: Node, line: Timeline, columns: dict, kinds: dict, carried: str | None) -> Frame:
         outputs = node.signature.columns
+        made = {c.name: c.name for c in outputs}
+        if node.op.MOVES_ROWS:  # the time since the row before goes with its row
+            columns = {**columns, RESERVED: carried or delta_t(line)}
+            made[RESERVED] = RESERVED
+        df = line.df.select(TIME, *[F.col(c).alias(n) for n, c in columns.items()])
         schema = T.StructType([T.StructField(TIME, df.schema[TIME].dataType), *[T.StructField(c.name, c.spark) for c in outputs]])
-        out = node.op.run(df, TIME, kinds, schema)
-        # whole-frame results are computed once, however many nodes read them
-        return Frame(Timeline(out.persist(), self.chunking, size=line.size), {c.name: c.name for c in outputs})
+        if node.op.MOVES_ROWS:
+            schema = schema.add(df.schema[RESERVED])
+        # whole-frame results are computed once, however many nodes read them, and survive lost executors
+        out = staged(node.op.run(df, TIME, kinds, schema))
+        return Frame(Timeline(out, self.chunking, size=line.size), made)
 
     # the cache
 
