@@ -51,6 +51,12 @@ def test_bad_documents(old, new):
 def test_yaml_subset():
     data = S._load("a: yes\nb: true\nc: 2026-01-01")
     assert data == {"a": "yes", "b": True, "c": "2026-01-01"}
+    data = S._load("a: False\nb: TRUE\nc: 'true'\nd: 1_000\ne: 1.5e+3\nf: ~\ng:\nh: -.5\ni: 0x1F\nj: 1.2.3\nk: off")
+    assert data == {"a": False, "b": True, "c": "true", "d": 1000, "e": 1500.0, "f": None, "g": None, "h": -0.5, "i": 31, "j": "1.2.3", "k": "off"}
+    for written, kept in (("False", False), ("true", True)):
+        assert S.loads(TEXT.replace("  odds: {op", f"  odds: {{materialize: {written}, op", 1)).nodes["odds"].materialize is kept
+    with pytest.raises(S.StrategyError):
+        S.loads(TEXT.replace("  odds: {op", "  odds: {materialize: 'no', op", 1))
     assert S.schema()["properties"]["format"]["const"] == S.FORMAT and S.expansion_schema()
 
 
