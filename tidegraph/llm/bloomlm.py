@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.llm.common import no_clash, stage
+from tidegraph.llm.common import no_clash, stage, tidy
 
 #: A key is an order and a prefix of a hash, of at least MIN_PREFIX_BITS.
 KEY_SHIFT = 26
@@ -206,7 +206,7 @@ def pack_blocks(rows: DataFrame, *, bytes_per_block: int = 8 << 20) -> DataFrame
         if held:
             yield row()
 
-    return stage(rows.mapInArrow(pack, "block bigint, body binary"), "lm-blocks")
+    return stage(rows.mapInArrow(tidy(pack), "block bigint, body binary"), "lm-blocks")
 
 
 def answers(blocks: DataFrame, bits: int) -> DataFrame:
@@ -265,9 +265,9 @@ def answers(blocks: DataFrame, bits: int) -> DataFrame:
         if parts:
             yield reply(now, parts)
 
-    rows = blocks.mapInArrow(ask, "block bigint, key int, hashes binary, counts binary")
+    rows = blocks.mapInArrow(tidy(ask), "block bigint, key int, hashes binary, counts binary")
     by_key = rows.repartition("key").sortWithinPartitions("key")
-    return stage(by_key.mapInArrow(answer, "block bigint, key int, counts binary, levels binary, total bigint, held bigint, distinct bigint"), "lm-answers")
+    return stage(by_key.mapInArrow(tidy(answer), "block bigint, key int, counts binary, levels binary, total bigint, held bigint, distinct bigint"), "lm-answers")
 
 
 def score(docs: DataFrame, train: DataFrame | Column, *, id_column: str = "doc_id", text: str = "text", flag: str) -> DataFrame:
@@ -330,5 +330,5 @@ def score(docs: DataFrame, train: DataFrame | Column, *, id_column: str = "doc_i
     bodies = blocks.select("block", F.lit(-1).alias("key"), F.col("body").alias("a"), F.lit(None).cast("binary").alias("b"))
     asking = bodies if isinstance(train, Column) else bodies.join(asked.select("block").distinct(), "block", "left_semi")
     whole = asking.unionAll(asked).repartition("block").sortWithinPartitions("block", "key")
-    out = whole.mapInArrow(per_block, schema)
+    out = whole.mapInArrow(tidy(per_block), schema)
     return out.select(F.col("id").alias(id_column), F.col("flag").alias(flag), "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score")

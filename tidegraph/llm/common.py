@@ -52,6 +52,23 @@ def unstage(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(function):
+    """For mapInArrow: ``function``, and when a task is done, freed memory given back, as the worker lives on for others."""
+
+    def run(batches):
+        yield from function(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` to a lambda variable, so that ``body`` may use it many times and it is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)

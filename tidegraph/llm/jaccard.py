@@ -29,12 +29,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.llm.common import no_clash, stage
+from tidegraph.llm.common import no_clash, stage, tidy
+from tidegraph.llm.tokens import slices
 from tidegraph.llm.components import components
 from tidegraph.llm.idfilter import mark
 
@@ -48,19 +50,21 @@ SALTS = 32
 _MIX = np.uint64(0xC4CEB9FE1A85EC53)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words; where each text's begin, and the end of the last)."""
+    lists = pc.ascii_split_whitespace(texts)
+    words = lists.flatten()
+    real = pc.binary_length(words).to_numpy() > 0  # the split leaves empty words at the ends of texts
+    ends = np.concatenate([[0], np.cumsum(real)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    coded = words.filter(pa.array(real)).dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    return np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))[coded.indices.to_numpy()], ends
 
 
-def grams(words: list[bytes], n: int, hashes: WordHashes) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's word n-grams."""
-    if not words:
+def grams_of(w: np.ndarray, n: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's word n-grams, from those of its words."""
+    if not len(w):
         return np.empty(0, np.uint64)
-    w = np.array([hashes[x] for x in words], np.uint64)
     if len(w) < n:
         w = np.concatenate([w, np.full(n - len(w), len(w), np.uint64)])
     m = len(w) - n + 1
@@ -188,20 +192,20 @@ def _nodes(docs: DataFrame, id_column: str, text: str, n: int) -> DataFrame:
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("node", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("sig", T.BinaryType())])
 
     def compute(batches):
-        hashes, multipliers = WordHashes(), _multipliers()
+        multipliers = _multipliers()
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for start, stop in slices(whole.column(1), 4 << 20):
+                texts = pc.fill_null(whole.column(1).slice(start, stop - start), "")
+                words, ends = word_hashes(texts)
                 node, size, sig = [], [], []
-                for body in batch.column(1).cast(pa.binary()).to_pylist():
-                    body = body or b""
-                    g = grams(body.split(), n, hashes)
-                    node.append(hashlib.md5(body).digest())
+                for body, a, b in zip(texts.cast(pa.binary()), ends[:-1], ends[1:], strict=True):
+                    g = grams_of(words[a:b], n)
+                    node.append(hashlib.md5(body.as_buffer()).digest())
                     size.append(len(g))
                     sig.append(signature(g, multipliers).tobytes() if len(g) else b"")
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(start, stop - start), pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.binary())], names=schema.names)
 
-    return stage(docs.select(F.col(id_column), F.col(text)).mapInArrow(compute, schema), "minhash")
+    return stage(docs.select(F.col(id_column), F.col(text)).mapInArrow(tidy(compute), schema), "minhash")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -281,7 +285,7 @@ def _by_unit(units: DataFrame, columns: list[str], handle, schema: str, names: l
         if out:
             yield batch_of(out)
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(tidy(run), schema)
 
 
 def _apart(units: DataFrame, columns: list[str], handle) -> DataFrame:
@@ -347,12 +351,11 @@ def _classify(docs: DataFrame, id_column: str, text: str, n: int, threshold: flo
         return whole.select("node", "component", "sig", "copies", "body", "grp")
 
     def verify(first, second):
-        hashes = WordHashes()
-
         def load(side):
             held = {x[0]: x for x in side}  # rows that share id and text are one node
             side = list(held.values())
-            return side, _signatures(side), [grams((x[4] or "").encode().split(), n, hashes) for x in side]
+            words, ends = word_hashes(pa.array([x[4] or "" for x in side], pa.string()))
+            return side, _signatures(side), [grams_of(words[a:b], n) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
         a, sa, ga = load(first)
         b, sb, gb = load(second) if second else (a, sa, ga)
@@ -381,7 +384,7 @@ def _classify(docs: DataFrame, id_column: str, text: str, n: int, threshold: flo
         return out + [(every[i][0], every[j][0], 0) for i, j in spanning(found, len(every), offset)]
 
     columns = ["node", "component", "sig", "copies", "body"]
-    wanted = member.select("node", "grp", "copies", "sig", "least", F.col("node").alias("component"))
+    wanted = stage(member.select("node", "grp", "copies", "sig", "least", F.col("node").alias("component")), "members")
     exact = _apart(_units(with_texts(wanted), sizes, pivots=not counts), columns, verify)
     classes = components(exact.filter("b is not null").select("a", "b"))
     if counts:

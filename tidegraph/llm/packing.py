@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.llm.common import no_clash, stage
+from tidegraph.llm.common import no_clash, stage, tidy
 from tidegraph.llm.tokens import END_ID, encoder, vocabulary_path
 
 CAPACITY = 4096
@@ -56,7 +56,7 @@ def cut_documents(docs: DataFrame, *, id_column: str = "doc_id", text: str = "te
                 columns = [start, length, np.array(crc, np.int64), sizes[doc], np.full(len(doc), part), nth_of_kind(length, seen)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + doc)), *[pa.array(c.astype(np.int64)) for c in columns]], names=names)
 
-    return stage(docs.select(F.col(id_column), F.col(text)).mapInArrow(cut, schema), "pieces")
+    return stage(docs.select(F.col(id_column), F.col(text)).mapInArrow(tidy(cut), schema), "pieces")
 
 
 def nth_of_kind(kinds: np.ndarray, seen: np.ndarray) -> np.ndarray:

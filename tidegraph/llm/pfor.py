@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.llm.common import no_clash, stage
+from tidegraph.llm.common import no_clash, stage, tidy
 from tidegraph.llm.tokens import END_ID, encoder, vocabulary_path
 
 BLOCK = 128
@@ -153,7 +153,7 @@ def write_segments(docs: DataFrame, *, id_column: str = "doc_id", text: str = "t
         if held:
             yield flush()
 
-    return stage(ranged.mapInArrow(write, schema), "pfor-segments")
+    return stage(ranged.mapInArrow(tidy(write), schema), "pfor-segments")
 
 
 def read_documents(segments: DataFrame, *, id_column: str = "doc_id") -> DataFrame:
@@ -177,7 +177,7 @@ def read_documents(segments: DataFrame, *, id_column: str = "doc_id") -> DataFra
                 size = len(lengths)
                 yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * size, pa.int32()), pa.array([seg.as_py()] * size, pa.int32()), keys.values, pa.array(ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], names=schema.names)
 
-    read = segments.select("part", "seg", "keys", "segment").mapInArrow(decode, schema)
+    read = segments.select("part", "seg", "keys", "segment").mapInArrow(tidy(decode), schema)
     out = read.join(bases, ["part", "seg"])
     return out.select(id_column, (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -90,7 +90,7 @@ class Generations(dict):
 class Encoder:
     """Texts to ids; parts once met are kept, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, limit: int = 300_000, bytes_at_once: int = 8 << 20):
+    def __init__(self, path: str, limit: int = 150_000, bytes_at_once: int = 4 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.bytes_at_once = Tokenizer.from_file(path), bytes_at_once
@@ -165,6 +165,7 @@ class Encoder:
         end = np.array([] if end_id is None else [end_id], np.uint32)
         for start, stop in slices(texts, self.bytes_at_once):
             yield start, *self.encode(pc.fill_null(texts.slice(start, stop - start), ""), end)
+        self.parts.old = {}
 
 
 def slices(texts: pa.Array, bytes_at_once: int):

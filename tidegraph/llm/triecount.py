@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.llm.common import no_clash
+from tidegraph.llm.common import no_clash, tidy
 from tidegraph.llm.tokens import slices, vocabulary_path
 
 MARK = "▁"
@@ -42,7 +42,7 @@ _CHARS = 0x110000
 class Unigram:
     """Best segmentations of pre-tokens; see the module's text."""
 
-    def __init__(self, pieces: list[str], longest: int = 128, bytes_at_once: int = 16 << 20):
+    def __init__(self, pieces: list[str], longest: int = 128, bytes_at_once: int = 8 << 20):
         norm = math.log(sum(1 / (r + 1) for r in range(len(pieces))))
         score = {p: -math.log(r + 1) - norm for r, p in enumerate(pieces)}
         self.byte = max((score[p] for p in pieces if _BYTE.fullmatch(p)), default=-math.log(len(pieces) + 1) - norm)
@@ -171,4 +171,4 @@ def count_tokens(docs: DataFrame, *, id_column: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n_words)), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=schema.names)
                 at += len(n_words)
 
-    return docs.select(F.col(id_column), F.col(text)).mapInArrow(count, schema)
+    return docs.select(F.col(id_column), F.col(text)).mapInArrow(tidy(count), schema)
