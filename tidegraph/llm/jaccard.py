@@ -420,8 +420,9 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text",
     several = nodes.select("node", "least", "copies").join(classes, "node", "left").filter("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
     first = several.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("first"))
     named = several.select("node", "component").join(first, "component").select("node", "first")
-    judged = rows.filter("size > 0").select("id", "node").join(named, "node")
-    judged = judged.withColumn("stays", (F.col("node") == F.col("first.node")) & F.col("id").eqNullSafe(F.col("first.least"))).groupBy("id", "node", "stays").agg(F.count(F.lit(1)).alias("n"))
+    # counted before the join, which then ends its stage: a text of very many copies may be split there
+    counted = rows.filter("size > 0").groupBy("id", "node").agg(F.count(F.lit(1)).alias("n"))
+    judged = counted.join(named, "node").withColumn("stays", (F.col("node") == F.col("first.node")) & F.col("id").eqNullSafe(F.col("first.least")))
     doubtful = stage(judged.filter("not stays or n > 1").select(F.col("id").alias("key"), "node", "stays"), "doubtful")
     # documents that surely stay do not move; the others are looked up
     marked = mark(docs, id_column, doubtful.select("key"))
