@@ -1,8 +1,10 @@
 import json
+import zlib
 import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from support import series
 
@@ -85,6 +87,65 @@ def test_charts(spark):
     assert "gone" in charts.render_chart_decls(df, charts.parse_chart_decls({"charts": [{"kind": "line", "columns": ["gone"]}]}))[0]
     with pytest.raises(ValueError):
         charts.Chart("pie", ("x",))
+    for kind in ("line", "equity", "bars", "scatter"):
+        chart = charts.Chart(kind, ("value", "value")[: 1 + (kind == "scatter")], title="Tides", width=300, height=200)
+        pixels, title = png_pixels(charts.plot_png(df, chart))
+        ink = tuple(int(charts.THEMES["light"]["series"][0][i : i + 2], 16) for i in (1, 3, 5))
+        assert pixels.shape == (200, 300, 3) and title == "Tides" and (pixels == ink).all(axis=2).sum() > 20
+        assert tuple(pixels[0, 0]) == (255, 255, 255)
+    bad, good = charts.render_figures(df, [charts.Chart("line", ("gone",)), charts.Chart("line", ("value",))])
+    assert "gone" in bad.title and png_pixels(bad.png())[0].shape == (400, 800, 3)
+    assert good.data_uri().startswith("data:image/png;base64,iVBOR") and good.data_uri("svg").startswith("data:image/svg+xml;base64,")
+
+
+def png_pixels(body):
+    """Pixels and title of a PNG file of plain rows."""
+    assert body[:8] == b"\x89PNG\r\n\x1a\n"
+    at, parts = 8, {}
+    while at < len(body):
+        n = int.from_bytes(body[at : at + 4], "big")
+        name, own = body[at + 4 : at + 8], body[at + 8 : at + 8 + n]
+        assert zlib.crc32(name + own) == int.from_bytes(body[at + 8 + n : at + 12 + n], "big")
+        parts[name] = own
+        at += 12 + n
+    w, h = (int.from_bytes(parts[b"IHDR"][i : i + 4], "big") for i in (0, 4))
+    rows = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(h, 1 + 3 * w)
+    assert not rows[:, 0].any()
+    return rows[:, 1:].reshape(h, w, 3), parts[b"iTXt"].split(b"\0")[-1].decode()
+
+
+def test_s3_credentials_are_scoped(spark, tmp_path):
+    from tidegraph.plans.storage import Store
+    from tidegraph.sources import s3
+
+    one = A.S3Credentials("key", "hidden", "token", "eu-1")
+    assert "hidden" not in repr(one) and "token" not in repr(one)
+    assert one.options()["fs.s3a.endpoint.region"] == "eu-1" and "session" not in "".join(A.S3Credentials("k", "s").options())
+    asked = []
+    seen = []
+
+    def provider():
+        asked.append(1)
+        return one
+
+    node = Node(A.Abs, {"value": series([-1.0]).value}, {"input_column": "value", "output_column": "out"})
+    executor = Executor(spark, s3=provider)
+    executor.table({"out": node.out}, on_progress=lambda *a: seen.append(A.current_s3_credentials()))
+    assert asked == [1] and set(seen) == {one} and A.current_s3_credentials() is None and "hidden" not in repr(executor)
+    assert spark._jsc.hadoopConfiguration().get("fs.s3a.access.key") is None
+    with s3.s3_scope(one):
+        store = Store(spark, str(tmp_path))
+        store.write("a.txt", b"x")
+        assert store.read("a.txt") == b"x" and store._at("a.txt")[0].getConf().get("fs.s3a.access.key") == "key"
+    assert Store(spark, "s3://bucket/a/").root == "s3a://bucket/a" and s3.location("/local") == "/local"
+    for bad in ("s3://", "s3://b?x", "s3://b/k#f"):
+        with pytest.raises(ValueError):
+            s3.location(bad)
+    for bad in (("", "s"), ("k", ""), ("k", "s", 5)):
+        with pytest.raises(ValueError):
+            A.S3Credentials(*bad)
+    with pytest.raises(TypeError), s3.s3_scope("key"):
+        pass
 
 
 def test_lookback():

@@ -21,4 +21,5 @@ from tidegraph.plans.graph import ExecutionError, Executor, Graph, GraphError  #
 from tidegraph.plans.node import Node, NullPolicy, Output  # noqa: F401
 from tidegraph.plans.types import ColumnSignature, FrameSignature, TimeAxis, Tolerance  # noqa: F401
 from tidegraph.sources.files import CSVSource, DatasetManifest, DatasetSource, ParquetSource, StreamingParquetSource, build_manifest, merkle_root, merkle_sha256_source, sha256_file, sha256_source  # noqa: F401
+from tidegraph.sources.s3 import S3Credentials, current_s3_credentials  # noqa: F401
 from tidegraph.sources.inline import DataFrameSource, OhlcvSource, PriceHistory  # noqa: F401

@@ -18,6 +18,7 @@ from tidegraph.plans.frames import TIME, Chunking, Frame, Timeline, align, any_n
 from tidegraph.plans.node import Node, NullPolicy, Output
 from tidegraph.plans.storage import Store
 from tidegraph.plans.types import DTYPES, RESERVED
+from tidegraph.sources.s3 import Provider, location, s3_scope, scan_options
 
 
 @dataclass(frozen=True, order=True)
@@ -149,6 +150,8 @@ class Executor:
     chunking: Chunking = field(default_factory=Chunking)
     no_cache: bool = False
     shard_rows: int = 5_000_000
+    #: Credentials for S3, or a function that gives them; asked once for each execution.
+    s3: Provider = field(default=None, repr=False)
 
     def run(self, graph: Graph, on_progress: Callable | None = None) -> dict[str, DataFrame]:
         frames = self.frames(graph, on_progress)
@@ -178,6 +181,10 @@ class Executor:
     def frames(self, graph: Graph, on_progress: Callable | None = None, keep: frozenset | set = frozenset()) -> dict[str, Frame]:
         """Every needed node, lowered."""
         graph.verify()
+        with s3_scope(self.s3):
+            return self._frames(graph, on_progress, keep)
+
+    def _frames(self, graph: Graph, on_progress: Callable | None, keep) -> dict[str, Frame]:
         frames: dict[str, Frame] = {}
         needed = self._needed(graph, keep)
         order = [n for n in graph.nodes if n.id in needed]
@@ -316,7 +323,7 @@ class Executor:
         return out
 
     def _read(self, node: Node) -> Frame:
-        df = self.spark.read.parquet(f"{self.cache_dir.rstrip('/')}/{self._path(node)}/data")
+        df = self.spark.read.options(**scan_options()).parquet(f"{location(self.cache_dir).rstrip('/')}/{self._path(node)}/data")
         names = [c.name for c in node.signature.columns]
         return source_frame(df, node.signature.time.column, names, self.chunking, unique=True)
 
@@ -324,7 +331,7 @@ class Executor:
         path, store = self._path(node), Store(self.spark, self.cache_dir)
         df = self.result(node, frame)
         try:
-            df.write.mode("overwrite").option("maxRecordsPerFile", self.shard_rows).parquet(f"{self.cache_dir.rstrip('/')}/{path}/data")
+            df.write.mode("overwrite").options(**scan_options()).option("maxRecordsPerFile", self.shard_rows).parquet(f"{location(self.cache_dir).rstrip('/')}/{path}/data")
             files = store.files(f"{path}/data", ".parquet")
             read = self._read(node)
             manifest = {

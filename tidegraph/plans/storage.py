@@ -6,17 +6,26 @@ import hashlib
 
 from pyspark.sql import SparkSession
 
+from tidegraph.sources.s3 import location, scan_options
+
 
 class Store:
     """Reads, writes and lists small driver-side files (manifests, models) under a root."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self.options, self._own = spark, location(root).rstrip("/"), scan_options(), None
 
     def _at(self, name: str):
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+        if not self.options:
+            return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+        if self._own is None:  # the process-wide cache of file systems does not look at credentials
+            conf = jvm.org.apache.hadoop.conf.Configuration(self.spark._jsc.hadoopConfiguration())
+            for k, v in self.options.items():
+                conf.set(k, v)
+            self._own = jvm.org.apache.hadoop.fs.FileSystem.newInstance(path.toUri(), conf)
+        return self._own, path
 
     def exists(self, name: str) -> bool:
         fs, path = self._at(name)

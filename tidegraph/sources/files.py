@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tidegraph.operators.base import Operator, operation
 from tidegraph.plans.storage import Store
 from tidegraph.plans.types import FrameSignature
+from tidegraph.sources.s3 import location, scan_options
 
 
 class SourceError(ValueError):
@@ -90,10 +91,7 @@ def coerce(df: DataFrame, signature: FrameSignature) -> DataFrame:
 
 def scan(spark: SparkSession, paths: list[str], order: list[str] | None = None, **options) -> DataFrame:
     """Parquet files with ``__seq``: their place in ``order``, then the row in the file."""
-    reader = spark.read
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    df = reader.parquet(*paths)
+    df = spark.read.options(**scan_options(), **options).parquet(*map(location, paths))
     rank = F.col("_metadata.file_path") if order is None else F.coalesce(*[F.when(F.endswith(F.col("_metadata.file_path"), F.lit(o)), F.lit(f"{i:012d}")) for i, o in enumerate(order)], F.col("_metadata.file_path"))
     return df.select("*", F.struct(rank.alias("f"), F.col("_metadata.row_index").alias("r")).alias("__seq"))
 
@@ -146,12 +144,12 @@ class CSVSource(_Source):
     def read(self, spark):
         verify_digest(sha256_file(spark, self.path), self.content_sha256, self.path)
         own = self.signature()
-        header = spark.read.option("header", True).option("sep", self.separator).csv(self.path)
+        header = spark.read.options(**scan_options()).option("header", True).option("sep", self.separator).csv(location(self.path))
         if missing := [n for n in own.spark().names if n not in header.columns]:
             raise SourceError(f"columns {missing} are missing")
         kinds = {f.name: f.dataType for f in own.spark().fields}
         full = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header.columns])
-        df = spark.read.schema(full).option("header", True).option("sep", self.separator).option("enforceSchema", False).option("mode", "FAILFAST").csv(self.path)
+        df = spark.read.schema(full).options(**scan_options()).option("header", True).option("sep", self.separator).option("enforceSchema", False).option("mode", "FAILFAST").csv(location(self.path))
         # one file: splits in order of their place in it, rows in order inside a split
         seq = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("r"))
         return coerce(df.withColumn("__seq", seq), own), "__seq"
@@ -199,9 +197,9 @@ def build_manifest(spark: SparkSession, root: str, write: bool = True) -> dict:
     store = Store(spark, root)
     sizes = dict(store.files("", ".parquet"))
     base = str(root).rstrip("/")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(base)
+    files = spark.read.options(**scan_options()).format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(base)
     digests = {r["path"]: r["d"] for r in files.select("path", F.sha2("content", 256).alias("d")).collect()}  # a row per chunk
-    rows = {r["p"]: r["n"] for r in spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(base).groupBy(F.col("_metadata.file_path").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = {r["p"]: r["n"] for r in spark.read.options(**scan_options()).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(base).groupBy(F.col("_metadata.file_path").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     at = lambda table, key: next((v for k, v in table.items() if k.endswith("/" + key)), 0)
     chunks = [{"key": k, "sha256": at(digests, k), "size": n, "rows": at(rows, k)} for k, n in sorted(sizes.items())]
     manifest = {"format": "tidegraph.chunks", "version": "0.1.0", "merkle": {"algorithm": "sha256", "tree": "balanced-binary", "root": merkle_root([(c["key"], c["sha256"]) for c in chunks])}, "chunks": chunks}
