@@ -66,7 +66,7 @@ def pack(ids: np.ndarray, lengths: np.ndarray, percentile: float = 90.0) -> byte
     for w in np.unique(width):
         if w:
             rows = np.flatnonzero(width == w)
-            bits = (delta[rows][:, :, None] >> np.arange(w, dtype=np.uint32)).astype(np.uint8) & 1
+            bits = np.unpackbits(delta[rows].astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
             body = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
             out[(starts[rows] + BLOCK_HEAD)[:, None] + np.arange(body.shape[1])] = body
     row, col = np.nonzero(over)
@@ -99,11 +99,9 @@ def unpack(segment: bytes) -> tuple[np.ndarray, np.ndarray]:
         if w:
             rows = np.flatnonzero(width == w)
             body = raw[(starts[rows] + BLOCK_HEAD)[:, None] + np.arange(w * BLOCK // 8)]
-            bits = np.unpackbits(body, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            values = np.zeros((len(rows), BLOCK), np.uint32)
-            for i in range(w):
-                values |= bits[:, :, i].astype(np.uint32) << np.uint32(i)
-            delta[rows] = values
+            bits = np.zeros((len(rows), BLOCK, 32), np.uint8)
+            bits[:, :, :w] = np.unpackbits(body, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
+            delta[rows] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
     total = int(n_over.sum())
     if total:
         row = np.repeat(np.arange(blocks), n_over)
