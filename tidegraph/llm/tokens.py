@@ -90,7 +90,7 @@ class Generations(dict):
 class Encoder:
     """Texts to ids; parts once met are kept, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, limit: int = 300_000, bytes_at_once: int = 8 << 20):
+    def __init__(self, path: str, limit: int = 200_000, bytes_at_once: int = 6 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.bytes_at_once = Tokenizer.from_file(path), bytes_at_once
