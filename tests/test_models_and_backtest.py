@@ -264,11 +264,45 @@ def test_risk_and_policies():
     assert "threshold" in A.list_policies() and cost_eps(0) == 1e-9
 
 
-def test_model_policy_trades_on_what_it_learnt():
-    n = 60
-    out = run(frame([10.0] * n, [10.0] * n, [1.0 if i % 2 else -1.0 for i in range(n)], target=[0.0] + [1.0 if i % 2 else -1.0 for i in range(n - 1)]), policy=A.ModelPolicy(E.LinearRegression(1e-6), every=20), target_column="target")
-    orders = [o[0] for o in out["order"]]
-    assert orders[:20] == [0] * 20 and orders[21:25] == [1, -1, 1, -1]
+def test_model_policies_against_a_walk_row_by_row():
+    n, r = 80, np.random.default_rng(4)
+    x = r.normal(size=n)
+    y = 2 * x + np.where(np.arange(n) > 50, 3.0, 0.0)
+    cols = frame([10.0] * n, [10.0] * n, x, target=y)
+
+    class Signs(A.OrderModelPolicy):
+        def interpret(self, prediction, row):
+            return np.sign(prediction)
+
+    for every, history in ((20, 1000), (7, 15)):
+        how = {"estimator": E.LinearRegression(1e-6), "scheduler": {"every": every}, "splitter": {"validation_size": 0.25}, "history_rows": history}
+        want = np.zeros(n)
+        for i in range(every, n):
+            cut = i - i % every
+            lo = max(0, cut - history)
+            upto = cut - int(np.ceil(0.25 * (cut - lo)))
+            want[i] = E.LinearRegression(1e-6).fit(x[lo:upto, None], y[lo:upto, None]).predict(x[i : i + 1, None])[0, 0]
+        out = run(cols, policy=A.OrderModelPolicy(**how), target_column="target", cash=1e6)
+        assert [o[0] for o in out["proposed_order"]] == pytest.approx(want)
+        signs = run(cols, policy=Signs(**how), target_column="target", cash=1e6)
+        assert [o[0] for o in signs["proposed_order"]] == np.sign(want).tolist()
+    never = run(cols, policy=A.OrderModelPolicy(E.LinearRegression(), {"frozen": True}), target_column="target")
+    assert not any(o[0] for o in never["order"])
+    # an error of a single row beyond the threshold refits at the next look
+    state = (jumpy := A.OrderModelPolicy(E.LinearRegression(1e-6), {"any": [{"every": 40}, {"metric": {"threshold": 1.0, "check_every": 10}}]})).start()
+    from tidegraph.operators.backtest.parts import Row
+
+    fits = []
+    for i in range(n):
+        jumpy.decide(state, Row(i, np.ones(1), np.ones(1), x[i : i + 1], 1.0, np.zeros(1), y[i : i + 1], n))
+        fits.append(state.fits)
+    assert fits[39] == 0 and fits[50] == 1 and fits[60] == 2
+    with pytest.raises(ValueError):
+        run(cols, policy=A.OrderModelPolicy(E.LinearRegression()))
+    with pytest.raises(ValueError):
+        A.OrderModelPolicy(E.LinearRegression(), history_rows=0)
+    with pytest.raises(NotImplementedError):
+        A.ModelPolicy(E.LinearRegression()).interpret(np.zeros(1), None)
 
 
 def test_validation_of_quotes():

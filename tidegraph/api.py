@@ -2,7 +2,7 @@
 
 from tidegraph.operators.backtest.engine import Backtest, run_groups  # noqa: F401
 from tidegraph.operators.backtest.parts import (  # noqa: F401
-    FixedFees, FractionalKelly, FractionalLimit, L1Feed, L2Feed, ModelPolicy, Policy, RiskPolicy, RiskReason, SignalPolicy, ThresholdPolicy, Venue, classify_reason, dense_side, interpolate_volumes, ladder_prices,
+    FixedFees, FractionalKelly, FractionalLimit, L1Feed, L2Feed, ModelPolicy, OrderModelPolicy, Policy, RiskPolicy, RiskReason, SignalPolicy, ThresholdPolicy, Venue, classify_reason, dense_side, interpolate_volumes, ladder_prices,
     list_fee_schedules, list_policies, list_risk_policies, register_fee_schedule, register_policy, register_risk_policy,
 )
 from tidegraph.operators.base import REGISTRY, Operator, operation  # noqa: F401

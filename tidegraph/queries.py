@@ -519,11 +519,21 @@ c AS (SELECT ts, bid, 1e9 - sum(paid) OVER (ORDER BY ts) AS cash, sum(s) OVER (O
 SELECT ts, round(cash, 4) AS cash, round(cash + held * bid, 4) AS equity, held::DOUBLE AS balance FROM c"""
 
 
-def _run(spark, sf_dir, inputs, **params):
+#: Sales meet the bid at once; a buy rests at its bid until an ask comes down to it or the next buy takes its place.
+_ORDERS = """WITH e AS (SELECT ts, greatest(value, 1.0) AS bid, greatest(value, 1.0) + 0.01 AS ask, sign(value - lag(value) OVER (ORDER BY ts)) AS s FROM events),
+o AS (SELECT *, row_number() OVER (ORDER BY ts) AS i FROM e WHERE s IS NOT NULL),
+b AS (SELECT i, bid AS price, coalesce(lead(i) OVER (ORDER BY i), (SELECT max(i) FROM o)) AS upto FROM o WHERE s > 0),
+f AS (SELECT min(o.i) AS i, any_value(b.price) AS price FROM b JOIN o ON o.i > b.i AND o.i <= b.upto AND o.ask <= b.price GROUP BY b.i),
+m AS (SELECT o.ts, o.i, o.bid, CASE WHEN o.s < 0 THEN o.bid * 0.999 ELSE 0 END - coalesce(f.price * 0.9998, 0) AS paid, (f.i IS NOT NULL)::BIGINT - (o.s < 0)::BIGINT AS got FROM o LEFT JOIN f USING (i)),
+c AS (SELECT ts, bid, 1e8 + sum(paid) OVER (ORDER BY ts) AS cash, sum(got) OVER (ORDER BY ts) AS held FROM m)
+SELECT ts, round(cash, 1) AS cash, round(cash + held * bid, 1) AS equity, held::DOUBLE AS balance FROM c"""
+
+
+def _run(spark, sf_dir, inputs, digits=4, **params):
     node = Node(A.Backtest, inputs, {"initial_cash": 1e9, **params}, null_policies={"signal": "drop"})
     flat = Node(A.FeatureUnpacker, {"features": node.balance}, {"base_name": "b"})
     df = Executor(spark).table({"cash": node.cash, "equity": node.equity, "balance": flat.b_0})
-    return rounded(df, 4)
+    return rounded(df, digits)
 
 
 @register("backtest_l1", _L1)
@@ -531,13 +541,13 @@ def backtest_l1(spark, sf_dir):
     return _run(spark, sf_dir, _quotes(sf_dir), feed={"kind": "l1", "venue": _VENUE})
 
 
-@register("backtest_l1_orders")
+@register("backtest_l1_orders", _ORDERS)
 def backtest_orders(spark, sf_dir):
     x = _quotes(sf_dir)
-    return _run(spark, sf_dir, {**x, "limit": x["bid"]}, feed={"kind": "l1", "venue": _VENUE}, policy={"kind": "threshold", "threshold": 0.5}, risk_policy={"kind": "fractional_limit", "fraction": 0.5}, limit_price_column="limit", fee_schedule={"kind": "fixed", "taker_rate": 0.001, "maker_rate": -0.0002})
+    return _run(spark, sf_dir, {**x, "limit": x["bid"]}, digits=1, initial_cash=1e8, feed={"kind": "l1", "venue": _VENUE}, policy={"kind": "threshold", "threshold": 0.5}, risk_policy={"kind": "fractional_limit", "fraction": 0.5}, limit_price_column="limit", fee_schedule={"kind": "fixed", "taker_rate": 0.001, "maker_rate": -0.0002})
 
 
-@register("backtest_l2")
+@register("backtest_l2", _L1.replace("+ 0.01", "+ 0.05"))
 def backtest_l2(spark, sf_dir):
     value = events(sf_dir).value
     low = apply(A.Clip, value, lower=1.0)
