@@ -108,7 +108,7 @@ def brute_log_mel(payload, spec):
     at = lambda i: x[i] if 0 <= i < len(x) else 0.0
     y = [sum(phase[k] * at(2 * i - (half - 1) + k) for k in range(spec.taps)) for i in range(-(-len(x) // 2))]
     out, energy = [], []
-    window = [0.5 - 0.5 * math.cos(2 * math.pi * (k + 1) / (spec.frame + 1)) for k in range(spec.frame)]
+    window = [0.54 - 0.46 * math.cos(2 * math.pi * k / (spec.frame - 1)) for k in range(spec.frame)]
     for first in range(0, len(y), spec.hop):
         f = [(y[first + k] if first + k < len(y) else 0.0) * window[k] for k in range(spec.frame)]
         power = [abs(sum(f[k] * complex(math.cos(2 * math.pi * b * k / spec.frame), -math.sin(2 * math.pi * b * k / spec.frame)) for k in range(spec.frame))) ** 2 for b in range(spec.frame // 2 + 1)]

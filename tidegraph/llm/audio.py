@@ -122,9 +122,10 @@ def log_mel(y: np.ndarray, spec: AudioSpec) -> tuple[np.ndarray, np.ndarray]:
         return mel, energy
     y = np.concatenate([y, np.zeros(max(0, (n - 1) * spec.hop + spec.frame - len(y)), np.float32)])
     windows = sliding_window_view(y, spec.frame)[:: spec.hop]
-    hann = np.hanning(spec.frame + 2)[1:-1].astype(np.float32)  # without the zeros at its ends
+    # no near-zero ends: the first hop lies in one frame only, and its samples must not be lost in rounding
+    taper = np.hamming(spec.frame).astype(np.float32)
     for at in range(0, n, spec.block):
-        f = windows[at : at + spec.block] * hann
+        f = windows[at : at + spec.block] * taper
         spectrum = np.fft.rfft(f)
         power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
         mel[at : at + spec.block] = np.log(power @ spec.bank + 1e-6)
