@@ -317,3 +317,12 @@ def test_runs_side_by_side(spark):
     df = spark.createDataFrame(rows, "run long, timestamp timestamp_ntz, bid array<double>, ask array<double>, signal array<double>")
     out = {(r["run"], r["timestamp"]): r["equity"] for r in A.run_groups(op, df, "run").collect()}
     assert len(out) == 12 and out[2, minute(2)] == pytest.approx(100 + 2 * 2 + 2 * 1)
+
+
+def test_cash_of_many_trades_is_exact():
+    """0.1 paid 60,000 times from 1e8: a plain running sum is off by far more than its last digit."""
+    n = 60_000
+    at = pd.date_range("2026-01-01", periods=n, freq="s")
+    one = [np.array([1.0])] * n
+    out = run(pd.DataFrame({"timestamp": at, "bid": [np.array([0.1])] * n, "ask": [np.array([0.1])] * n, "signal": one}), cash=1e8)
+    assert out["cash"].tolist() == [1e8 - k / 10 for k in range(1, n + 1)] and set(out["equity"]) == {1e8}
