@@ -326,3 +326,17 @@ def test_cash_of_many_trades_is_exact():
     one = [np.array([1.0])] * n
     out = run(pd.DataFrame({"timestamp": at, "bid": [np.array([0.1])] * n, "ask": [np.array([0.1])] * n, "signal": one}), cash=1e8)
     assert out["cash"].tolist() == [1e8 - k / 10 for k in range(1, n + 1)] and set(out["equity"]) == {1e8}
+
+
+def test_backtest_goes_batch_by_batch():
+    """A run in pieces is the run of the whole, also beyond ruin; a time that comes again in the next piece is refused."""
+    from tidegraph.operators.backtest.engine import Simulation
+
+    op = A.Backtest(feed={"kind": "l1", "venue": {"name": "v", "universe": ["a"]}}, initial_cash=10.0)
+    g = frame([10, 30, 50, 60, 70], [10, 30, 50, 60, 70], [-20, 0, 5, 1, 1])
+    parts, one = [], Simulation(op, "timestamp", len(g))
+    for at in range(0, len(g), 2):
+        parts.append(one.step(g.iloc[at : at + 2].reset_index(drop=True)))
+    pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), op.simulate(g, "timestamp"))
+    with pytest.raises(ValueError):
+        one.step(g.iloc[-1:])
