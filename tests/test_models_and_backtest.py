@@ -340,3 +340,29 @@ def test_backtest_goes_batch_by_batch():
     pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), op.simulate(g, "timestamp"))
     with pytest.raises(ValueError):
         one.step(g.iloc[-1:])
+
+
+def test_growing_fits_are_the_fits_of_the_whole_history():
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(500, 20, (600, 2)), -1)
+    y = x @ [[2.0], [-1.0]] + r.normal(size=(600, 1))
+    z = (r.random((600, 1)) < 0.4).astype(float)
+    for estimator, target in ((E.LinearRegression(), y), (E.LinearRegression(5.0), y), (E.LogisticRegression(1e-6), z)):
+        growing = estimator.growing(x, target)
+        for to in (1, 50, 51, 400, 600, 30):
+            if to > 1 or isinstance(estimator, E.LinearRegression):
+                a, b = growing.fit(to), estimator.fit(x[:to], target[:to])
+                np.testing.assert_allclose(a.predict(x), b.predict(x), rtol=1e-8)
+    same = np.ones((9, 1))  # a constant feature: solved from its rows
+    np.testing.assert_allclose(E.LinearRegression().growing(same, same * 3).fit(9).predict(same), 3 * same)
+
+
+def test_dealt_walks_are_the_walk_in_one_task(spark):
+    x, y = data(400)
+    rows = spark.createDataFrame([(minute(i), a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y, strict=True))], "timestamp timestamp_ntz, features array<double>, target array<double>")
+    for scheduler in ({"every": 60}, {"any": [{"every": 60}, {"metric": {"threshold": 1e12, "check_every": 25}}]}, {"any": [{"every": 60}, {"metric": {"threshold": 0.0, "check_every": 25}}]}):
+        op = A.CNN1D(sequence_length=4, epochs=2, scheduler=scheduler)
+        wanted = walk_forward(x, y, op.estimator(), op.scheduler, op.splitter, 0, 3)
+        out = op.run(rows, "timestamp", {}, "timestamp timestamp_ntz, prediction array<double>")
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+        np.testing.assert_allclose(np.array([r["prediction"] for r in out.orderBy("timestamp").collect()], float), wanted)
