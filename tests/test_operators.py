@@ -196,6 +196,22 @@ def test_ewm_against_weights(spark, rows, monkeypatch):
             same(got, brute_ewm(values, alpha, adjust, least, op is A.EwmStd))
 
 
+@pytest.mark.parametrize("rows", [10_000, 500])
+def test_ewm_mean_rounds_as_the_loop(spark, rows, monkeypatch):
+    """To the last bit: means of values in cents can be exact ties of the queries' sixth digit."""
+    from tidegraph.operators import ordered
+
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", rows)
+    values = [int(v) / 100 for v in np.random.default_rng(6).integers(0, 50_000, 2000)]
+    plain, adjusted, m, w, wx = [], [], None, 0.0, 0.0
+    for v in values:
+        m = v if m is None else m * 0.75 + 0.25 * v
+        w, wx = w * 0.9 + 1, wx * 0.9 + v
+        plain.append(m), adjusted.append(wx / w)
+    assert column(spark, apply(A.EwmMean, series(values), alpha=0.25, adjust=False)) == plain
+    assert column(spark, apply(A.EwmMean, series(values), alpha=0.1)) == adjusted
+
+
 def test_recurrence_is_the_loop():
     from tidegraph.operators.ordered import recurrence
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -28,21 +29,11 @@ def in_chunks(df: DataFrame, t: str, rows: int) -> DataFrame:
 
 
 def recurrence(added: np.ndarray, fade: float, start: float) -> np.ndarray:
-    """y[i] = fade * y[i - 1] + added[i], from y[-1] = start."""
-    if fade == 0 or not len(added):
+    """y[i] = fade * y[i - 1] + added[i], from y[-1] = start; rounded as the plain loop rounds, row after row."""
+    if fade == 0:
         return added.astype(np.float64)
-    out = np.empty(len(added))
-    # inside a block, y is a running sum of what was added, blown up by powers of 1 / fade that stay small numbers
-    size = min(len(added), max(1, int(30 / -math.log2(fade))) if fade < 1 else len(added))
-    powers = fade ** np.arange(1, size + 1)
-    blocks = len(added) // size
-    inner = np.cumsum(added[: blocks * size].reshape(blocks, size) / powers, axis=1) * powers
-    for i, (row, last) in enumerate(zip(inner, inner[:, -1].tolist(), strict=True)):
-        out[i * size : (i + 1) * size] = row + start * powers
-        start = last + start * powers[-1]
-    for i in range(blocks * size, len(added)):
-        start = out[i] = fade * start + added[i]
-    return out
+    fade = float(fade)
+    return np.fromiter(accumulate(added.tolist(), lambda y, a: fade * y + a, initial=float(start)), np.float64, len(added) + 1)[1:]
 
 
 @dataclass(frozen=True)
@@ -52,6 +43,9 @@ class Ewm(Unary):
     The sums of weights and weighted powers are linear recurrences: each chunk is scanned on its own, chunk ends are
     combined in a scan over one row per chunk, and a second scan of the chunks starts from there.  Up to CHUNK_ROWS rows
     are one chunk, scanned once.
+
+    Means of decimals can be exact ties of a later rounding, so the scans keep to the plain loop's order of operations;
+    what came before a chunk is far below the last digit at its end, unless alpha is tiny.
     """
 
     alpha: float = 0.1
@@ -59,6 +53,8 @@ class Ewm(Unary):
     min_samples: int = 1
 
     BATCH = True
+    #: Are the values' distances from their mean summed up?  Against cancellation; it costs the plain loop's last digit.
+    CENTERED = False
 
     def __post_init__(self):
         if not 0 < self.alpha <= 1:
@@ -76,6 +72,7 @@ class Ewm(Unary):
 
     def run(self, df: DataFrame, t: str, kinds: dict, schema: T.StructType) -> DataFrame:
         x, name, decay, alpha, adjust, finish = self.input_column, schema.names[1], 1 - self.alpha, self.alpha, self.adjust, self.finish
+        centered = self.CENTERED
         fades = np.array([decay, decay * decay, decay, decay])
 
         def terms(values: np.ndarray, seen: int, center: float) -> tuple[np.ndarray, np.ndarray]:
@@ -100,19 +97,23 @@ class Ewm(Unary):
             def whole(g: pd.DataFrame) -> pd.DataFrame:
                 g = g.sort_values(t, kind="stable")
                 values = numbers(g)
-                center = float(np.nanmean(values)) if (values == values).any() else 0.0
+                center = float(np.nanmean(values)) if centered and (values == values).any() else 0.0
                 return result(g, values, center, np.zeros(4), 0)
 
             return rows.groupBy(F.lit("all")).applyInPandas(whole, schema)
 
         own = staged(in_chunks(rows, t, CHUNK_ROWS))
-        center = own.agg(F.avg(F.when(~F.isnan(x), F.col(x)))).first()[0] or 0.0
+        center = (own.agg(F.avg(F.when(~F.isnan(x), F.col(x)))).first()[0] or 0.0) if centered else 0.0
+
+        # where a chunk's first scan starts: without adjustment the weights go down to their limits, from 1, and stay
+        before = np.array([0.0, 0.0, 0.0, 0.0] if adjust else [1.0, 1.0, 0.0, 0.0])
 
         def ends(g: pd.DataFrame) -> pd.DataFrame:
             g = g.sort_values(INDEX, kind="stable")
-            values, back = numbers(g), np.arange(len(g))[::-1]
+            values = numbers(g)
             # as if values had come before (weight alpha), and as if none had (weight 1 for the first)
-            later, fresh = (((added := terms(values, seen, center)[0]) * fades ** back[:, None]).sum(axis=0) for seen in (1, 0))
+            both = (terms(values, 1, center)[0], before), (terms(values, 0, center)[0], np.zeros(4))
+            later, fresh = ([recurrence(added[:, k], fades[k], start[k])[-1] for k in range(4)] for added, start in both)
             return pd.DataFrame([[g[CHUNK].iloc[0], len(g), int((values == values).sum()), *later, *fresh]], columns=["c", "rows", "n", *[f"l{i}" for i in range(4)], *[f"f{i}" for i in range(4)]])
 
         kinds_of = "c long, rows long, n long, " + ", ".join(f"{k}{i} double" for k in "lf" for i in range(4))
@@ -122,7 +123,7 @@ class Ewm(Unary):
             state, n, out = np.zeros(4), 0, []
             for r in g.itertuples(index=False):
                 out.append((r.c, *state, n))
-                state = state * fades**r.rows + np.array([r.f0, r.f1, r.f2, r.f3] if n == 0 else [r.l0, r.l1, r.l2, r.l3])
+                state = np.array([r.f0, r.f1, r.f2, r.f3]) if n == 0 else (state - before) * fades**r.rows + np.array([r.l0, r.l1, r.l2, r.l3])
                 n += r.n
             return pd.DataFrame(out, columns=["c", "s0", "s1", "s2", "s3", "sn"])
 
@@ -152,6 +153,8 @@ class EwmMean(Ewm):
 class EwmStd(Ewm):
     """Exponentially weighted, debiased standard deviation; at least two values."""
 
+    CENTERED = True
+
     def finish(self, s, n, center):
         with np.errstate(all="ignore"):
             w, w2, wx, wxx = s.T
