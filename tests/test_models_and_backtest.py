@@ -53,6 +53,74 @@ def test_slopes_of_networks():
         assert g.flat[0] == pytest.approx((up - down) / 2e-6, abs=1e-5)
 
 
+def test_trees_see_rows_of_equal_bins_once(monkeypatch):
+    r = np.random.default_rng(1)
+    x, seen, grow = r.integers(0, 9, (5000, 2)).astype(float), [], E.GradientBoosting._tree
+    y = np.sin(x[:, :1]) * x[:, 1:] + r.normal(size=(5000, 1))
+    monkeypatch.setattr(E.GradientBoosting, "_tree", lambda self, binned, *more: (seen.append(len(binned)), grow(self, binned, *more))[1])
+    m = E.GradientBoosting(5, 0.5, min_data_in_leaf=1, num_leaves=81).fit(x, y)
+    assert seen == [81] * 5
+    # leaves of one kind each: every round halves the distance to the kind's mean
+    means = np.array([y[(x == k).all(axis=1)].mean() for k in x])
+    assert m.predict(x)[:, 0] == pytest.approx(means + (y.mean() - means) * 0.5**5, abs=1e-9)
+
+
+def test_blocks_give_the_slopes_of_the_whole(monkeypatch):
+    r = np.random.default_rng(2)
+    x, y, arrays = r.normal(size=(1000, 3)), r.normal(size=(1000, 2)), E._init(r, [3, 5, 2])
+    monkeypatch.setattr(E, "BLOCK", 96)
+    blocks = E._blocks(x, y)
+    assert len(blocks) == 11
+    for a, b in zip(E._block_slopes(arrays, blocks), E._dense_slopes(arrays, x, y)[0], strict=True):
+        assert a == pytest.approx(b, abs=1e-12)
+    whole = E.Dense(tuple(zip(arrays[::2], arrays[1::2], strict=True))).predict(x)
+    assert E._block_loss(arrays, blocks) == pytest.approx(((whole - y) ** 2).mean())
+
+
+def test_convolutions_take_needed_steps_only():
+    r = np.random.default_rng(3)
+    k1, k2 = r.normal(size=(3, 2, 4)), r.normal(size=(2, 4, 5))
+    b1, b2, head = r.normal(size=4), r.normal(size=5), (r.normal(size=(5, 1)), r.normal(size=1))
+    net = E.Conv(8, ((k1, b1, 1), (k2, b2, 2)), E.Dense((head,)))
+    assert net.steps() == [[3, 4, 5, 6, 7], [5, 7], [7]]
+    assert E.Conv(2, ((k1, b1, 1),), E.Dense((head,))).steps() == [[0, 1], [1]]  # steps before the sequence count as zero
+    x = r.normal(size=(3000, 2))
+    one = lambda at, k, b, d, layer: np.maximum(sum(layer(at - (len(k) - 1 - j) * d) @ k[j] for j in range(len(k))) + b, 0)
+    for row in (7, 1031, 2999):
+        first = lambda at: one(at, k1, b1, 1, lambda s: x[s])
+        assert net.predict(x)[row] == pytest.approx(one(row, k2, b2, 2, first) @ head[0] + head[1])
+
+
+def test_each_task_has_one_share_of_a_walk(spark, sf_dir):
+    from tidegraph import queries
+
+    dealt = []
+    old = A.LightGBM.estimator
+    try:
+        A.LightGBM.estimator = lambda self: Where()
+        dealt = [r["prediction"] for r in queries.boosting(spark, sf_dir).collect() if r["prediction"] is not None]
+    finally:
+        A.LightGBM.estimator = old
+    assert len(set(dealt)) == 2
+
+
+class Where:
+    """An estimator that predicts the number of the task it is in."""
+
+    def fit(self, x, y, xv, yv, seed):
+        from pyspark import TaskContext
+
+        return Constant(float(TaskContext.get().partitionId()))
+
+
+class Constant:
+    def __init__(self, value):
+        self.value = value
+
+    def predict(self, x):
+        return np.full((len(x), 1), self.value)
+
+
 def test_networks_and_trees_learn():
     x, y = data(600)
     base = float(((y - y.mean()) ** 2).mean())
