@@ -434,3 +434,27 @@ def test_dealt_walks_are_the_walk_in_one_task(spark):
         out = op.run(rows, "timestamp", {}, "timestamp timestamp_ntz, prediction array<double>")
         assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
         np.testing.assert_allclose(np.array([r["prediction"] for r in out.orderBy("timestamp").collect()], float), wanted)
+
+
+def test_rows_without_orders_are_passed_at_once(monkeypatch):
+    """The results are those of the walk row by row, resting orders and ruin too."""
+    from tidegraph.operators.backtest import engine
+
+    r, n = np.random.default_rng(5), 4000
+    bid = np.round(50 + np.cumsum(r.normal(size=(n, 1)), axis=0).clip(-49, None), 2)
+    g = pd.DataFrame({"timestamp": [minute(k) for k in range(n)], "bid": list(bid), "ask": list(bid + 0.01), "signal": list((r.random((n, 1)) < 0.03) * r.choice([-1.0, 1.0], (n, 1))), "limit": list(bid - 0.5)})
+    calls, old = [], engine.execute
+    monkeypatch.setattr(engine, "execute", lambda *a: (calls.append(1), old(*a))[1])
+    for cash in (1000.0, 60.0):
+        for more in ({"policy": {"kind": "threshold", "threshold": 0.5}, "risk_policy": {"kind": "fractional_limit", "fraction": 0.5}, "limit_price_column": "limit"}, {}):
+            op = A.Backtest(feed={"kind": "l1", "venue": {"name": "v", "universe": ["a"]}}, initial_cash=cash, **more)
+            calls.clear()
+            fast = op.simulate(g, "timestamp")
+            few = len(calls)
+            with monkeypatch.context() as m:
+                m.setattr(engine.Simulation, "_still", lambda self, market, r, moving, n: r)
+                calls.clear()
+                slow = op.simulate(g, "timestamp")
+            assert few < len(calls) / 4 or len(calls) < 400
+            for c in slow:
+                assert np.array_equal(np.stack(slow[c].to_numpy()), np.stack(fast[c].to_numpy())), c
